@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from linestream.functions.languages import maximal_id
 from linestream.scale import Split, running
 from linestream.schema import LINE
-from linestream.sources.tables import lines_from_text
+from linestream.sources.tables import lines_from_text, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """One frame per document; numbered on the two key columns only, never on the texts."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"))
@@ -36,8 +40,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    each = lines_from_text(docs, ["doc_id", "lang"])
+    each = lines_from_text(documents(spark, sf), ["doc_id", "lang"])
     return each.join(frames(spark, sf).select("doc_id", "session_id", "frame_seq"), "doc_id")
 
 
@@ -62,7 +65,7 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 def tm(spark: SparkSession, sf: str) -> DataFrame:
     return (
         lines_from_text(
-            table(spark, sf, "documents").where((F.col("doc_id") % 2 == 0) & (F.col("lang") != "en")), ["lang"]
+            documents(spark, sf).where((F.col("doc_id") % 2 == 0) & (F.col("lang") != "en")), ["lang"]
         )
         .select(
             maximal_id(F.col("lang")).alias("source"),
@@ -103,8 +106,7 @@ def responses(spark: SparkSession, sf: str, of: DataFrame | None = None) -> Data
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("lang", "text")
-    each = lines_from_text(docs, ["lang"])
+    each = lines_from_text(documents(spark, sf), ["lang"])
     return (
         each.select(F.col("lang").alias("source"), F.explode(F.split("text", " ", -1)).alias("token"))
         .groupBy("source", "token")

@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("lines_from_text")
 def _(spark, sf):
-    return lines_from_text(fx.table(spark, sf, "documents"), ["doc_id"])
+    return lines_from_text(fx.documents(spark, sf), ["doc_id"])
 
 
 @query("latest_region")
@@ -169,7 +169,7 @@ def _(spark, sf):
 
 
 def _profile(spark, sf):
-    docs = fx.table(spark, sf, "documents").where(F.col("doc_id") % 2 == 0)
+    docs = fx.documents(spark, sf).where(F.col("doc_id") % 2 == 0)
     return lg.language_profile(lines_from_text(docs, ["doc_id", "lang"]), ["de", "en", "es", "fr"])
 
 
@@ -182,7 +182,7 @@ def _(spark, sf):
 
 @query("detect_language")
 def _(spark, sf):
-    odd = lines_from_text(fx.table(spark, sf, "documents").where(F.col("doc_id") % 2 == 1), ["doc_id"])
+    odd = lines_from_text(fx.documents(spark, sf).where(F.col("doc_id") % 2 == 1), ["doc_id"])
     found = lg.detect_language(odd, _profile(spark, sf), ["doc_id", "line_no"], 0.65)
     return rounded(found, "confidence")
 

@@ -69,14 +69,16 @@ def language_profile(
     return Profile(model, list(langs), n, fits(model))
 
 
-def _pick(langs: list[str], sums: list[Column], k: Column, min_conf: float) -> tuple[Column, Column]:
-    """Best language and its confidence from summed log-probabilities over ``k`` matched grams."""
-    scores = [s / F.sqrt(k) for s in sums]
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(v).alias("lang")) for s, v in zip(scores, langs)]))
-    mass = sum((F.exp(s - best["score"]) for s in scores), F.lit(0.0))
-    conf = 1 / mass
-    ok = (k > 0) & (conf >= min_conf) if min_conf > 0 else k > 0
-    return F.when(ok, best["lang"]), F.when(k > 0, conf)
+def _pick(df: DataFrame, langs: list[str], sums: str, k: str, out: str) -> DataFrame:
+    """Add ``<out>_lang`` and ``<out>_conf`` from the summed log-probabilities ``<sums>_0, ...`` over
+    ``k`` matched grams; NULL where there are none.  In steps, so that no score is worked out twice."""
+    n = range(len(langs))
+    df = df.withColumns({f"__{out}_{i}": F.col(f"{sums}_{i}") / F.sqrt(F.nullif(F.col(k), F.lit(0))) for i in n})
+    top = F.greatest(*[F.col(f"__{out}_{i}") for i in n], F.lit(float("-inf")))
+    df = df.withColumn("__top", top)
+    best = F.coalesce(*[F.when(F.col(f"__{out}_{i}") == F.col("__top"), langs[i]) for i in sorted(n, key=lambda i: langs[i], reverse=True)])
+    mass = sum((F.exp(F.col(f"__{out}_{i}") - F.col("__top")) for i in n), F.lit(0.0))
+    return df.withColumns({f"{out}_lang": best, f"{out}_conf": 1 / mass}).drop("__top", *[f"__{out}_{i}" for i in n])
 
 
 def detect_language(
@@ -93,8 +95,9 @@ def detect_language(
     sums = hit.groupBy(*ids).agg(
         F.count("lp_0").alias("__k"), *[F.sum(f"lp_{i}").alias(f"__s_{i}") for i in range(len(profile.langs))]
     )
-    lang, conf = _pick(profile.langs, [F.col(f"__s_{i}") for i in range(len(profile.langs))], F.col("__k"), min_conf)
-    return sums.select(*ids, lang.alias("detected"), conf.alias("confidence"))
+    best = _pick(sums, profile.langs, "__s", "__k", "line")
+    lang = F.when(F.col("line_conf") >= min_conf, F.col("line_lang")) if min_conf > 0 else F.col("line_lang")
+    return best.select(*ids, lang.alias("detected"), F.col("line_conf").alias("confidence"))
 
 
 def resolve_sources(
@@ -123,7 +126,10 @@ def resolve_sources(
     by_frame = Window.partitionBy(*FRAME).orderBy("line_no")
     whole = Window.partitionBy(*FRAME)
 
-    x = lines.select(*LINE, F.lower("text").alias("__x"))
+    # The one shuffle.  Its width is set: making grams costs far more than its bytes let on, so it
+    # must not be merged into fewer tasks.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = lines.select(*LINE, F.lower("text").alias("__x")).repartition(tasks, *FRAME)
     head = F.substring("__x", 1, n - 1)
     x = x.select(
         "*",
@@ -138,7 +144,11 @@ def resolve_sources(
     # gram too only if it is all the frame has.
     grams = F.concat(_grams(F.col("__ext"), n), F.when(F.col("__len") < n, F.array("__x")).otherwise(F.array().cast("array<string>")))
     n_ext = F.greatest(F.length("__ext") - (n - 1), F.lit(0))
-    rows = x.select(*LINE, "__len", "__lines", n_ext.alias("__n"), F.posexplode(grams).alias("__pos", "g")).select(
+    # All that is needed of the text is worked out ahead of the explode, so that no row carries it.
+    # There is always a gram; the outer form only keeps Spark from adding a filter that makes
+    # all grams a second time.
+    x = x.select(*LINE, "__len", "__lines", n_ext.alias("__n"), grams.alias("__grams"))
+    rows = x.select(*LINE, "__len", "__lines", "__n", F.posexplode_outer("__grams").alias("__pos", "g")).select(
         *LINE,
         "g",
         ((F.col("__pos") + n <= F.col("__len")) | (F.col("__pos") == F.col("__n"))).alias("own"),
@@ -152,14 +162,11 @@ def resolve_sources(
         *[F.sum(F.when(F.col("own"), F.col(f"lp_{i}"))).alias(f"__s_{i}") for i in range(len(langs))],
         *[F.sum(F.when(F.col("all"), F.col(f"lp_{i}"))).alias(f"__fs_{i}") for i in range(len(langs))],
     )
-    own, conf = _pick(langs, [F.col(f"__s_{i}") for i in range(len(langs))], F.col("__k"), min_conf)
-    frame, _ = _pick(
-        langs,
-        [F.sum(f"__fs_{i}").over(whole) for i in range(len(langs))],
-        F.sum("__fk").over(whole),
-        0.0,
-    )
-    found = sums.select(*LINE, F.coalesce(own, frame, F.lit(DEFAULT_SOURCE)).alias(out))
+    whole_sums = {f"__fs_{i}": F.sum(f"__fs_{i}").over(whole) for i in range(len(langs))}
+    sums = sums.withColumns({**whole_sums, "__fk": F.sum("__fk").over(whole)})
+    best = _pick(_pick(sums, langs, "__s", "__k", "line"), langs, "__fs", "__fk", "frame")
+    own = F.when(F.col("line_conf") >= min_conf, F.col("line_lang")) if min_conf > 0 else F.col("line_lang")
+    found = best.select(*LINE, F.coalesce(own, F.col("frame_lang"), F.lit(DEFAULT_SOURCE)).alias(out))
     if checkpoint:
         found = materialize(found)
     return lines.join(found, LINE, "left").withColumn(out, F.coalesce(out, F.lit(DEFAULT_SOURCE)))

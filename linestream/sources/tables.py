@@ -14,6 +14,20 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False, schema=L
     return reader.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table over all cores when it is too small for its scan to do so.
+
+    A scan makes one task per ``spark.sql.files.maxPartitionBytes``.  A table with fewer bytes
+    than that per core would leave cores idle through all of its text work, and moving it costs
+    little.  A larger one is left as it is: its texts never move for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per_task = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(cores, *keys) if size < cores * per_task else df
+
+
 def lines_from_text(
     df: DataFrame, id_cols: list[str], text_col: str = "text", line_col: str = "line_no", out_col: str = "text"
 ) -> DataFrame:
