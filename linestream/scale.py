@@ -32,13 +32,15 @@ BROADCAST_BYTES = 64 << 20
 _CHUNK = "__chunk"
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """True when ``df`` is proven to have at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     Reads at most ``max_rows + 1`` rows, and only counts them.
     """
     if df.isStreaming:
         return False
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     size = F.lit(0).cast("long")
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):

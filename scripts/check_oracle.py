@@ -1,4 +1,9 @@
-"""Run queries and their SQL side by side: ``python scripts/check_oracle.py SF_DIR [query ...]``."""
+"""Run queries and their SQL side by side.
+
+``python scripts/check_oracle.py SF_DIR [--hot] [query ...]``: with ``--hot`` every key with more than
+40 rows counts as hot and nothing is small enough to broadcast, so that all queries take the way
+they take on large and skewed tables.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checks.oracle import ORACLE  # noqa: E402
 from checks.registry import QUERIES  # noqa: E402
+from linestream import scale  # noqa: E402
 from linestream.session import local_session  # noqa: E402
 
 
@@ -41,7 +47,10 @@ def oracle_rows(sf: str, sql: str) -> tuple[list[str], Counter]:
 
 
 def main() -> int:
-    sf, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
+    args = [a for a in sys.argv[1:] if a != "--hot"]
+    sf, names = args[0], args[1:] or list(QUERIES)
+    if "--hot" in sys.argv:
+        scale.HOT_ROWS, scale.BROADCAST_ROWS = 40, 0
     spark = local_session()
     bad = 0
     for n in names:
