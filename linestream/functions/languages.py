@@ -37,13 +37,20 @@ def _parts(code: Column) -> Column:
     return F.split(F.translate(code, "_", "-"), "-", -1)
 
 
+def _bare(code: Column) -> Column:
+    return ~(code.contains("-") | code.contains("_"))
+
+
 def primary_subtag(code: Column) -> Column:
     """The language itself: what "same language" compares."""
-    return F.lower(F.try_element_at(_parts(code), F.lit(1)))
+    return F.lower(F.when(_bare(code), code).otherwise(F.try_element_at(_parts(code), F.lit(1))))
 
 
 def maximal_id(code: Column) -> Column:
-    """``language-Script-REGION`` with likely subtags filled in; unknown languages stay as written."""
+    """``language-Script-REGION`` with likely subtags filled in; unknown languages stay as written.
+
+    A bare language, the common case, is one look into one table.
+    """
     parts = _parts(code)
     lang = primary_subtag(code)
     rest = F.slice(parts, 2, F.size(parts))
@@ -60,7 +67,8 @@ def maximal_id(code: Column) -> Column:
     )
     known = lang.isin(list(LIKELY))
     full = F.concat_ws("-", lang, F.coalesce(script, likely_script), F.coalesce(region, likely_region))
-    return F.when(known, full).otherwise(code)
+    bare = F.try_element_at(_table({k: f"{k}-{v[0]}-{v[1]}" for k, v in LIKELY.items()}), F.lower(code))
+    return F.when(_bare(code), F.coalesce(bare, code)).when(known, full).otherwise(code)
 
 
 def display_name(code: Column, name: Column) -> Column:

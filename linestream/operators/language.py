@@ -27,15 +27,10 @@ class Profile:
 def _grams(x: Column, n: int) -> Column:
     """All grams of ``x``, none when it is shorter than ``n``.
 
-    Shifted copies of the array of characters are put together position by position.  Taking
-    substrings by position would walk the text anew for each of them.
+    One walk over the text, by a pattern that looks ahead from each character (never from the second
+    half of one).  Taking substrings by position would walk the text anew for each of them.
     """
-    chars = F.split(x, "")
-    size = F.greatest(F.length(x) - (n - 1), F.lit(0))
-    out = chars
-    for j in range(1, n):
-        out = F.zip_with(out, F.slice(chars, F.lit(j + 1), F.length(x)), lambda a, b: F.concat(a, b))
-    return F.slice(out, F.lit(1), size)
+    return F.regexp_extract_all(x, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _text_grams(x: Column, n: int) -> Column:
