@@ -683,6 +683,18 @@ ORACLE: dict[str, str] = {
     ),
     "split_sections_dated": _sql(_DATED, "lines"),
     "unique_slugs": _sql(_SLUGS, "sectioned"),
+    "live_trigger": _sql(
+        r"""
+        SELECT doc_id, line_no, t AS text FROM (
+          SELECT doc_id, line_no, regexp_replace(regexp_replace(text, '^[\p{Z}\t\n\x0B\f\r\x{85}]+', ''),
+                                                 '[\p{Z}\t\n\x0B\f\r\x{85}]+$', '') AS t FROM doc_lines)
+        WHERE t <> ''""",
+        "doc_lines",
+    ),
+    "live_translate": _sql(
+        "SELECT session_id, frame_seq, line_no, seq, ident AS line_id, source_max, translated FROM replayed_cache",
+        "replayed_cache",
+    ),
     "replay_live": _sql(_REPLAY.format(table="replayed"), "replayed"),
     "replay_live_session_cache": _sql(_REPLAY.format(table="replayed_cache"), "replayed_cache"),
     "replay_live_status": _sql(_STATUS.format(table="replayed"), "replayed"),

@@ -19,9 +19,12 @@ from linestream.operators import sections as sec
 from linestream.operators import text as tx
 from linestream.plans.capture import lexicon_backend, translate_capture, translator_backend
 from linestream.plans.replay import replay_live as replay
+from linestream.scale import shared_dir
 from linestream.schema import FRAME, LINE
 from linestream.sources.sinks import export_stamped
 from linestream.sources.tables import lines_from_text, read_lines
+from linestream.streaming import sinks
+from linestream.streaming.live import live_translate, shown_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,10 +441,56 @@ def _(spark, sf):
     return sec.unique_slugs(s).select("doc_id", "section_no", "title", "slug")
 
 
+# On a stream: the given table arrives, the query runs until all of it is worked off.
+
+
+def _until_done(writer, work: str) -> None:
+    q = sinks.live_trigger(writer.option("checkpointLocation", f"{work}/state"), once=True).start()
+    q.awaitTermination()
+
+
+@query("live_trigger")
+def _(spark, sf):
+    work = shared_dir(spark, "live_trigger")
+    docs = read_lines(spark, f"{sf}/documents.parquet", streaming=True, schema=DOCUMENTS)
+    lines = tx.clean_lines(lines_from_text(docs, ["doc_id"]))
+    _until_done(lines.writeStream.foreachBatch(sinks.rows_sink(f"{work}/out")), work)
+    return spark.read.parquet(f"{work}/out").select("doc_id", "line_no", "text")
+
+
+@query("live_translate")
+def _(spark, sf):
+    """Frames and answers in two arrivals, the second by a query that goes on from the first one's state."""
+    work = shared_dir(spark, "live_translate")
+    good = fr.good_frames(fx.frames(spark, sf))
+    lines = fx.resolved(spark, sf)
+    per_frame = lines.groupBy(*FRAME).agg(F.collect_list(F.struct("line_no", "text", "source")).alias("lines"))
+    frames = good.join(per_frame, FRAME, "left").select(
+        "session_id", "epoch", "seq", "frame_seq", F.col("ts").cast("timestamp").alias("ts"), "lines"
+    )
+    asked = lines.select(*LINE, "text", "source")
+    fresh = fr.fresh_on_good(_answers(spark, sf), good).join(asked, LINE).join(good.select(*FRAME, "seq"), FRAME)
+    answers = fresh.select(
+        "session_id", "seq", "frame_seq", F.col("ts").cast("timestamp").alias("ts"),
+        F.struct("line_no", "text", "source", "answer", "arrival").alias("answer"),
+    )
+    events = frames.unionByName(answers, allowMissingColumns=True)
+    events.write.parquet(f"{work}/all")
+    events = spark.read.parquet(f"{work}/all")
+    half = events.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    tm = fx.tm(spark, sf)
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        events.where(part).write.mode("append").parquet(f"{work}/in")
+        stream = read_lines(spark, f"{work}/in", streaming=True, schema=events.schema)
+        out = live_translate(stream, tm, TARGET, STRATEGY)
+        _until_done(out.writeStream.outputMode("update").foreachBatch(sinks.rows_sink(f"{work}/out")), work)
+    return shown_lines(spark.read.parquet(f"{work}/out"))
+
+
 # End to end
 
 
-def _answers(spark, sf, given):
+def _answers(spark, sf):
     """Answers by line for the replay: the responses of FIXTURES.md with ids that exist."""
     return (
         fx.responses(spark, sf)
@@ -453,7 +502,7 @@ def _answers(spark, sf, given):
 def _replay(spark, sf, **kw):
     lines = fx.resolved(spark, sf)
     return replay(
-        fx.frames(spark, sf), lines, fx.tm(spark, sf), _answers(spark, sf, lines), target=TARGET, strategy=STRATEGY, **kw
+        fx.frames(spark, sf), lines, fx.tm(spark, sf), _answers(spark, sf), target=TARGET, strategy=STRATEGY, **kw
     )
 
 

@@ -15,11 +15,11 @@ hashes reach the driver; by counting, each key left out holds fewer than
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,17 +229,26 @@ def running(
     return joined.select(*keep)
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path that all executors share, under the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="linestream-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
     Used where a plan would otherwise run twice an expensive or non-repeatable step.
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local
-    session that names none gets a temporary one.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="linestream-"), "checkpoints"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)

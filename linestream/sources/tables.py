@@ -9,9 +9,18 @@ from linestream.schema import LINES
 
 
 def read_lines(spark: SparkSession, path: str, streaming: bool = False, schema=LINES) -> DataFrame:
-    """The line table, as a batch or as a stream of new files."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(schema).parquet(path)
+    """The line table, as a batch or as a stream of new files.
+
+    A stream watches a folder; given a single file, it watches its folder for files of that name.
+    """
+    if not streaming:
+        return spark.read.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where) and not fs.getFileStatus(where).isDirectory():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
