@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linestream.scale import Split, running
+from linestream.scale import Split, flag, running, runs
 
 
 def latest_region(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -53,9 +53,7 @@ def interaction_spans(df: DataFrame, key: str, order: list[str], gap: str, hot_r
     ts = order[0]
     src = df.select(key, *order)
     split = Split.of(src, [key], order, hot_rows)
-    prev = running(src, split, lags={"__prev": F.col(ts)})
-    opens = F.col("__prev").isNull() | _apart(F.col(ts), F.col("__prev"), gap)
-    marked = running(prev, split, lasts={"start": F.when(opens, F.col(ts))})
+    marked = runs(src, split, "start", F.col(ts), lambda before, here: _apart(here, before, gap), F.col(ts))
     return marked.groupBy(key, "start").agg(
         (F.max(ts) + F.expr(f"interval {gap}")).alias("end"), F.count(F.lit(1)).alias("n_events")
     )
@@ -76,21 +74,10 @@ def sample_latest(df: DataFrame, key: str, ts: str, every: str, values: list[str
     )
 
 
-def _flag(df: DataFrame, split: Split, out: str, set_to: Column, flips: Column) -> DataFrame:
-    """A flag that some events set and others flip: its last set value, turned by the parity of
-    the flips since.  Two scans in one order, starts at 0."""
-    df = running(df, split, sums={"__flips": F.coalesce(flips.cast("int"), F.lit(0))})
-    base = F.when(set_to.isNotNull(), (set_to + F.col("__flips")) % 2)
-    df = running(df, split, lasts={"__base": base})
-    return df.withColumn(out, ((F.coalesce("__base", F.lit(0)) + F.col("__flips")) % 2).cast("int")).drop(
-        "__flips", "__base"
-    )
-
-
 def _with_active(events: DataFrame, split: Split, kind: str) -> DataFrame:
     """Add ``active`` after, and ``active_before``, each event."""
     k = F.col(kind)
-    df = _flag(
+    df = flag(
         events,
         split,
         "active",
@@ -119,7 +106,7 @@ def session_state(
         .when(k.isin("dismiss", "permission_error", "set_live_off"), 0)
         .when(k.isin("toggle_overlay", "set_live_on"), active)
     )
-    return _flag(df, split, "live", sets, (k == "toggle_live") & (active == 1)).drop("active_before")
+    return flag(df, split, "live", sets, (k == "toggle_live") & (active == 1)).drop("active_before")
 
 
 def availability_status(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linestream.scale import Split, running
+from linestream.scale import Split, running, runs
 from linestream.schema import FRAME
 
 IDENTITY = ["session_id", "epoch", "text", "k"]
@@ -74,11 +74,11 @@ def identity_split(occ: DataFrame, hot_rows: int | None = None) -> Split:
 
 
 def name_identities(occ: DataFrame, split: Split) -> DataFrame:
-    prev = running(occ, split, lags={"__prev": F.col("seq")})
-    starts = F.col("__prev").isNull() | (F.col("__prev") != F.col("seq") - 1)
-    runs = running(prev, split, lasts={"first_seq": F.when(starts, F.col("seq"))}).drop("__prev")
+    named = runs(
+        occ, split, "first_seq", F.col("seq"), lambda before, here: before != here - 1, F.col("seq")
+    )
     name = F.concat_ws(":", "session_id", "epoch", "first_seq", "k", F.md5("text"))
-    return runs.withColumn("line_id", name)
+    return named.withColumn("line_id", name)
 
 
 def frame_diff(lines: DataFrame, frames: DataFrame, attrs: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:

@@ -156,6 +156,10 @@ def _with_candidates(df: DataFrame, displays: DataFrame, ids: list[str], max_dis
     row = F.struct(*d.columns)
     if fits(d, max_displays):
         return df.withColumn("__cand", d.agg(F.array_sort(F.collect_list(row))).scalar())
+    # Of equal rectangles the first one always wins, so copies of a display fold into one.
+    d = d.groupBy("x", "y", "w", "h").agg(F.min(F.struct("seq", "id", "scale")).alias("__one")).select(
+        "__one.seq", "__one.id", "x", "y", "w", "h", "__one.scale"
+    )
     cell = DISPLAY_CELL
     left = df.select(
         *ids, F.explode(_cells(F.col("x"), F.col("w"), cell)).alias("__cx"), F.col("y").alias("__y"), F.col("h").alias("__h")

@@ -73,11 +73,13 @@ def _with_session_cache(asked: DataFrame, numbered: DataFrame, hot_rows: int | N
     the frame comes first, as its own answers follow it.
     """
     at = asked.join(numbered.select(*FRAME, F.col("ts").alias("__ts")), FRAME)
-    as_lines = at.withColumns({"__tag": F.lit(0), "__say": F.lit(None).cast("string")})
-    as_answers = at.where(F.col("answer").isNotNull()).withColumns(
-        {"__ts": F.col("answer_ts"), "__tag": F.lit(1), "__say": F.col("answer")}
+    nobody = F.lit(None).cast("string")
+    line = F.struct(F.col("__ts").alias("at"), F.lit(0).alias("tag"), nobody.alias("say"))
+    answer = F.struct(F.col("answer_ts").alias("at"), F.lit(1).alias("tag"), F.col("answer").alias("say"))
+    moments = F.when(F.col("answer").isNotNull(), F.array(line, answer)).otherwise(F.array(line))
+    both = at.select(*asked.columns, F.explode(moments).alias("__m")).select(
+        *asked.columns, F.col("__m.at").alias("__ts"), F.col("__m.tag").alias("__tag"), F.col("__m.say").alias("__say")
     )
-    both = as_lines.unionByName(as_answers)
     split = Split.of(both, ["session_id", "source_max", "text"], ["__ts", "__tag", "seq", "line_no"], hot_rows)
     told = running(both, split, lasts={"remembered": F.col("__say")})
     return told.where(F.col("__tag") == 0).drop("__ts", "__tag", "__say")

@@ -3,9 +3,9 @@
 Rules kept here so that the operators can stay declarative:
 
 * a side is broadcast only after its row and byte count was checked (``fits``);
-* a key that holds a large share of the rows never lands in one task: joins take
-  its rows out of the shuffle (``lookup_join``), ordered scans cut it into chunks
-  whose results are chained (``Split`` and ``running``);
+* a key that holds a large share of the rows never lands in one task: joins spread
+  its rows (``lookup_join``), ordered scans cut it into chunks whose results are
+  chained (``Split`` with ``running``, ``runs`` and ``flag``);
 * nothing is dropped or sampled: the hot and the cold way give the same rows.
 
 Hot keys are found by one exact, map-side combined count.  At most ``MAX_HOT``
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 _CHUNK = "__chunk"
+_PLACE = "__place"
 
 
 def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
@@ -92,23 +94,24 @@ def lookup_join(
 ) -> DataFrame:
     """Join to a table with at most one row per key.
 
-    ``right`` is broadcast when its checked size allows it.  Else the rows of hot
-    left keys meet their right rows (one per key, so at most a few thousand) in a
-    broadcast join and never shuffle; all others take a shuffle join.
+    ``right`` is broadcast when its checked size allows it.  Else it is a shuffle join in which the
+    rows of hot left keys are spread by a hash of the whole row, and the right rows of these keys
+    (one each, so at most a few thousand) are copied to each place.  The left side is worked out once.
     """
     if small is None:
         small = fits(right)
     if small:
         return left.join(F.broadcast(right), on, how)
-    if left.isStreaming:
-        return left.join(right, on, how)
-    hot = hot_keys(left, on, hot_rows)
+    hot = [] if left.isStreaming else hot_keys(left, on, hot_rows)
     if not hot:
         return left.join(right, on, how)
+    places = max(2, min(MAX_CHUNKS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     is_hot = _key_hash(on).isin(hot)
-    cold = left.where(~is_hot).join(right.where(~is_hot), on, how)
-    warm = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
-    return cold.unionByName(warm)
+    row = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    place = F.when(is_hot, F.pmod(F.xxhash64(*row), F.lit(places)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.withColumn(_PLACE, place)
+    return spread.join(right.withColumn(_PLACE, F.explode(copies)), [*on, _PLACE], how).drop(_PLACE)
 
 
 @dataclass(frozen=True)
@@ -180,11 +183,7 @@ def running(
     and its result is joined back as the start value of the chunk.
     """
     sums, lasts, lags, leads = sums or {}, lasts or {}, lags or {}, leads or {}
-    cut = bool(split.hot and split.bounds)
-    src = df.withColumn(_CHUNK, split.chunk(df)) if cut else df
-    part = split.keys + ([_CHUNK] if cut else [])
-    w = Window.partitionBy(*part).orderBy(*split.order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut, src, part, w, upto = _windows(df, split)
     # A struct keeps "there is a row, its value is NULL" apart from "there is no row".
     cols = {n: F.sum(e).over(upto) for n, e in sums.items()}
     cols |= {n: F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()}
@@ -201,21 +200,15 @@ def running(
     aggs += [F.max_by(F.struct(e.alias("v")), pos).alias(n) for n, e in lags.items()]
     aggs += [F.min_by(F.struct(e.alias("v")), pos).alias(n) for n, e in leads.items()]
     per_chunk = src.where(_key_hash(split.keys).isin(split.hot)).groupBy(*part).agg(*aggs)
-    ws = Window.partitionBy(*split.keys).orderBy(_CHUNK)
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    ws, before = _chunk_windows(split)
     carry = per_chunk.select(
-        *[F.col(c).alias(f"__key{i}") for i, c in enumerate(part)],
+        *_chunk_keys(part),
         *[F.sum(n).over(before).alias(f"__c_{n}") for n in sums],
         *[F.last(n, ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts],
         *[F.lag(n).over(ws).alias(f"__c_{n}") for n in lags],
         *[F.lead(n).over(ws).alias(f"__c_{n}") for n in leads],
     )
     local = src.withColumns(cols)
-    cond = None
-    for i, c in enumerate(part):
-        eq = F.col(c).eqNullSafe(F.col(f"__key{i}"))
-        cond = eq if cond is None else cond & eq
-    joined = local.join(carry, cond, "left")
     out = {}
     for n in sums:
         out[n] = F.when(F.col(f"__c_{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"__c_{n}")).otherwise(
@@ -225,8 +218,117 @@ def running(
         out[n] = F.coalesce(F.col(n), F.col(f"__c_{n}")["v"])
     for n in [*lags, *leads]:
         out[n] = F.coalesce(F.col(n), F.col(f"__c_{n}"))["v"]
-    keep = [out[c].alias(c) if c in out else F.col(c) for c in local.columns if c != _CHUNK]
-    return joined.select(*keep)
+    return _with_carry(local, carry, part, out)
+
+
+def _with_carry(local: DataFrame, carry: DataFrame, part: list[str], out: dict[str, Column]) -> DataFrame:
+    """Join each chunk's start values (keyed ``__key0, ...``) to its rows; ``out`` says what they make of them.
+
+    There is one row per chunk of a hot key, so adaptive execution broadcasts it by its true size.
+    """
+    cond = None
+    for i, c in enumerate(part):
+        eq = F.col(c).eqNullSafe(F.col(f"__key{i}"))
+        cond = eq if cond is None else cond & eq
+    joined = local.join(carry, cond, "left")
+    keep = [F.col(c) for c in local.columns if c != _CHUNK and c not in out and not c.startswith("__l_")]
+    return joined.select(*keep, *[e.alias(n) for n, e in out.items()])
+
+
+def _windows(df: DataFrame, split: Split):
+    """The table with its chunk numbers, the window columns, and the two windows of an ordered scan."""
+    cut = bool(split.hot and split.bounds)
+    src = df.withColumn(_CHUNK, split.chunk(df)) if cut else df
+    part = split.keys + ([_CHUNK] if cut else [])
+    w = Window.partitionBy(*part).orderBy(*split.order)
+    return cut, src, part, w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _chunk_windows(split: Split):
+    ws = Window.partitionBy(*split.keys).orderBy(_CHUNK)
+    return ws, ws.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _chunk_keys(part: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"__key{i}") for i, c in enumerate(part)]
+
+
+def runs(df: DataFrame, split: Split, out: str, look: Column, opens: Callable[[Column, Column], Column], value: Column) -> DataFrame:
+    """Add ``out``: ``value`` of the row that opened the run a row is in.
+
+    ``opens(before, here)`` says from ``look`` of the row before and of this row whether a run opens; the
+    first row of a key always opens one.  ``value`` must not be NULL.  One scan: in a chunk of a hot key only
+    the leading run is open to what came before, and that is settled between the chunks.
+    """
+    cut, src, part, w, upto = _windows(df, split)
+    src = src.withColumns({"__l_before": F.lag(F.struct(look.alias("v"))).over(w)})
+    begins = opens(F.col("__l_before")["v"], look)
+    if not cut:
+        begins = F.col("__l_before").isNull() | begins
+        return src.withColumn(out, F.last(F.when(begins, value), ignorenulls=True).over(upto)).drop("__l_before")
+    is_hot = _key_hash(split.keys).isin(split.hot)
+    # The first row of a chunk waits for what came before it; the first row of a cold key opens.
+    begins = F.when(F.col("__l_before").isNull(), ~is_hot).otherwise(begins)
+    local = src.withColumns(
+        {
+            "__l_run": F.last(F.when(begins, value), ignorenulls=True).over(upto),
+            "__l_look": look,
+            "__l_value": value,
+        }
+    )
+    pos = F.struct(*split.order)
+    per_chunk = local.where(is_hot).groupBy(*part).agg(
+        F.min_by(F.struct("__l_look", "__l_value"), pos).alias("__first"),
+        F.max_by(F.struct("__l_look", "__l_run"), pos).alias("__last"),
+    )
+    ws, before = _chunk_windows(split)
+    per_chunk = per_chunk.withColumn("__was", F.lag("__last").over(ws))
+    opened = F.col("__was").isNull() | opens(F.col("__was.__l_look"), F.col("__first.__l_look"))
+    per_chunk = per_chunk.withColumn("__opened", F.when(opened, F.col("__first.__l_value")))
+    carry = per_chunk.select(
+        *_chunk_keys(part),
+        F.coalesce(
+            "__opened", F.last(F.coalesce("__last.__l_run", "__opened"), ignorenulls=True).over(before)
+        ).alias("__c_run"),
+    )
+    return _with_carry(local, carry, part, {out: F.coalesce("__l_run", "__c_run")})
+
+
+def flag(df: DataFrame, split: Split, out: str, set_to: Column, flips: Column) -> DataFrame:
+    """Add ``out`` (0 / 1, at first 0): some rows set it (``set_to`` not NULL), others flip it.
+
+    The value last set, turned by the parity of the flips since.  One scan, also over chunks: the
+    flips since the last set are counted within the chunk, and a chunk without a set turns the
+    value it starts with.
+    """
+    cut, src, part, w, upto = _windows(df, split)
+    local = src.withColumn("__l_flips", F.sum(F.coalesce(flips.cast("int"), F.lit(0))).over(upto))
+    local = local.withColumn(
+        "__l_base", F.last(F.when(set_to.isNotNull(), (set_to + F.col("__l_flips")) % 2), ignorenulls=True).over(upto)
+    )
+    value = lambda base: ((base + F.col("__l_flips")) % 2).cast("int")
+    if not cut:
+        return local.withColumn(out, value(F.coalesce("__l_base", F.lit(0)))).drop("__l_flips", "__l_base")
+    per_chunk = local.where(_key_hash(split.keys).isin(split.hot)).groupBy(*part).agg(
+        F.max_by(F.struct("__l_flips", "__l_base"), F.struct(*split.order)).alias("__end")
+    )
+    _, before = _chunk_windows(split)
+    # Over the chunks: one that sets leaves its own end value, one that does not turns what it got.
+    per_chunk = per_chunk.withColumns(
+        {
+            "__turns": F.coalesce(F.sum("__end.__l_flips").over(before), F.lit(0)),
+            "__upto": F.sum("__end.__l_flips").over(before.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    left = F.when(
+        F.col("__end.__l_base").isNotNull(), (F.col("__end.__l_base") + F.col("__end.__l_flips") + F.col("__upto")) % 2
+    )
+    per_chunk = per_chunk.withColumn("__left", left)
+    start = (F.coalesce(F.last("__left", ignorenulls=True).over(before), F.lit(0)) + F.col("__turns")) % 2
+    carry = per_chunk.select(*_chunk_keys(part), start.alias("__c_start"))
+    return _with_carry(
+        local, carry, part, {out: value(F.coalesce("__l_base", "__c_start", F.lit(0)))}
+    )
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linestream.scale import MAX_HOT, Split, fits, hot_keys, lookup_join, materialize, running
+from linestream.scale import MAX_HOT, Split, fits, flag, hot_keys, lookup_join, materialize, running, runs
 
 
 @pytest.fixture(scope="module")
@@ -83,10 +83,32 @@ def test_lookup_join_ways_agree(spark, skewed, rows, how, hot_rows):
     assert rows(got) == rows(want)
 
 
-def test_hot_join_rows_never_shuffle_by_key(spark, skewed):
+def test_hot_join_rows_are_spread(spark, skewed):
     right = spark.createDataFrame([("hot", 1), ("a", 2)], "key string, w int")
-    plan = lookup_join(skewed, right, ["key"], small=False, hot_rows=50)._jdf.queryExecution().toString()
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = lookup_join(skewed, right, ["key"], small=False, hot_rows=50).where("key = 'hot'")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 300 and len(sizes) > 3 and max(sizes) < 150
+
+
+@pytest.mark.parametrize("hot_rows", [250, 30, 8])
+def test_runs_and_flags_in_chunks(skewed, rows, hot_rows):
+    plain, cut = Split(["key"], ["ts", "id"]), Split.of(skewed, ["key"], ["ts", "id"], hot_rows)
+    assert cut.bounds
+    opens = lambda before, here: here - before > 40
+    get = lambda s: runs(skewed, s, "open", F.col("ts"), opens, F.col("id"))
+    assert rows(get(cut), "id", "open") == rows(get(plain), "id", "open")
+    set_to = F.when(F.col("id") % 40 == 1, 1).when(F.col("id") % 40 == 2, 0)
+    get = lambda s: flag(skewed, s, "on", set_to, F.col("n") == 2)
+    assert rows(get(cut), "id", "on") == rows(get(plain), "id", "on")
+    never = F.lit(None).cast("int")
+    get = lambda s: flag(skewed, s, "on", never, F.col("n") == 2)
+    assert rows(get(cut), "id", "on") == rows(get(plain), "id", "on")
 
 
 def test_fits_counts_rows_and_bytes(spark):
