@@ -16,7 +16,7 @@ from linestream.operators.frames import (
 from linestream.operators.language import Profile, resolve_sources
 from linestream.operators.memory import tm_lookup
 from linestream.operators.text import clean_lines
-from linestream.scale import Split, running
+from linestream.scale import Split, materialize, running
 from linestream.schema import AUTO, FRAME, LINE
 
 
@@ -40,7 +40,8 @@ def replay_live(
     With ``session_cache`` the answers of a session also serve its later lines of equal text, as a
     growing cache does; without it only ``tm`` does.
     """
-    numbered = good_frames(frames, hot_rows)
+    # A few columns per frame, asked for at every step: numbered once, written once.
+    numbered = materialize(good_frames(frames, hot_rows))
     occ = occurrences(clean_lines(lines), numbered)
     split = identity_split(occ, hot_rows)
     named = name_identities(occ, split)
