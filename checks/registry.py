@@ -244,13 +244,13 @@ def _(spark, sf):
 @query("match_responses")
 def _(spark, sf):
     req = fx.requests(spark, sf)
-    return mem.match_responses(req, fx.responses(spark, sf)).select("line_id", "source", "text", "answer")
+    return mem.match_responses(req, fx.responses(spark, sf, req)).select("line_id", "source", "text", "answer")
 
 
 def _applied(spark, sf, policy):
     lines = _looked_up(spark, sf).withColumn("line_id", fx.line_id())
-    res = fx.responses(spark, sf)
-    answers = mem.match_responses(fx.requests(spark, sf), res).select("line_id", "answer")
+    req = fx.requests(spark, sf)
+    answers = mem.match_responses(req, fx.responses(spark, sf, req)).select("line_id", "answer")
     return mem.apply_translations(lines, answers, policy, ["line_id"]).select("line_id", "translated")
 
 
@@ -405,8 +405,9 @@ def stub_translator(batch: pd.DataFrame) -> pd.Series:
 
 @query("translate_batches")
 def _(spark, sf):
-    out = mem.translate_batches(fx.requests(spark, sf), stub_translator, TARGET, STRATEGY)
-    return mem.join_answers(fx.requests(spark, sf), out).select("line_id", "source_max", "text", "answer", "error")
+    req = fx.requests(spark, sf)
+    out = mem.translate_batches(req, stub_translator, TARGET, STRATEGY)
+    return mem.join_answers(req, out).select("line_id", "source_max", "text", "answer", "error")
 
 
 # Sections

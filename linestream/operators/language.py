@@ -128,13 +128,14 @@ def resolve_sources(
     head = F.substring("__x", 1, n - 1)
     x = x.select(
         "*",
-        F.count(F.lit(1)).over(whole).alias("__lines"),
-        F.lead("__x").over(by_frame).isNotNull().alias("__more"),
+        F.lead(F.lit(1)).over(by_frame).isNotNull().alias("__more"),
+        F.lag(F.lit(1)).over(by_frame).isNull().alias("__first"),
         F.substring(F.concat_ws("\n", *[F.lead(head, j).over(by_frame) for j in range(1, n + 1)]), 1, n - 1).alias("__tail"),
     )
     size = F.length("__x")
     ext = F.when(F.col("__more"), F.concat("__x", F.lit("\n"), "__tail")).otherwise(F.col("__x"))
-    x = x.select(*LINE, "__lines", size.alias("__len"), ext.alias("__ext"), F.col("__x"))
+    only = F.col("__first") & ~F.col("__more")
+    x = x.select(*LINE, only.alias("__only"), size.alias("__len"), ext.alias("__ext"), F.col("__x"))
     # A line shorter than a gram is its own gram, put behind those of the frame; it is the frame's
     # gram too only if it is all the frame has.
     grams = F.concat(_grams(F.col("__ext"), n), F.when(F.col("__len") < n, F.array("__x")).otherwise(F.array().cast("array<string>")))
@@ -142,12 +143,12 @@ def resolve_sources(
     # All that is needed of the text is worked out ahead of the explode, so that no row carries it.
     # There is always a gram; the outer form only keeps Spark from adding a filter that makes
     # all grams a second time.
-    x = x.select(*LINE, "__len", "__lines", n_ext.alias("__n"), grams.alias("__grams"))
-    rows = x.select(*LINE, "__len", "__lines", "__n", F.posexplode_outer("__grams").alias("__pos", "g")).select(
+    x = x.select(*LINE, "__len", "__only", n_ext.alias("__n"), grams.alias("__grams"))
+    rows = x.select(*LINE, "__len", "__only", "__n", F.posexplode_outer("__grams").alias("__pos", "g")).select(
         *LINE,
         "g",
         ((F.col("__pos") + n <= F.col("__len")) | (F.col("__pos") == F.col("__n"))).alias("own"),
-        ((F.col("__pos") < F.col("__n")) | (F.col("__lines") == 1)).alias("all"),
+        ((F.col("__pos") < F.col("__n")) | F.col("__only")).alias("all"),
     )
     hit = lookup_join(rows, profile.grams, ["g"], "left", small=profile.small)
     known = F.col("lp_0").isNotNull()
