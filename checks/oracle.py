@@ -723,3 +723,23 @@ CTE["placed_lines"] = (
         FROM boxes b JOIN good g ON g.session_id = b.session_id AND g.frame_seq = b.frame_seq""",
 )
 ORACLE["frame_diff"] = _sql(ORACLE["frame_diff"], "placed_lines")
+
+# Columns that are 32-bit integers in Spark.
+_INTEGERS = {
+    "read_lines": ["n"],
+    "language_catalog_source": ["pos"],
+    "language_catalog_target": ["pos"],
+    "line_identity": ["line_no", "k"],
+    "frame_diff": ["line_no", "k"],
+    **{
+        name: ["line_no"]
+        for name in (
+            "lines_from_text", "clean_lines", "flip_boxes", "boxes_to_pixels", "line_font_size", "detect_language",
+            "resolve_sources", "tm_lookup", "carry_forward", "lexicon_translate", "live_trigger", "live_translate",
+            "replay_live", "replay_live_session_cache", "replay_live_auto", "translate_capture_lines",
+        )
+    },
+}
+for _name, _cols in _INTEGERS.items():
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _cols)
+    ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"

@@ -1,0 +1,3 @@
+"""Multilingual text-line pipelines on Spark tables and streams."""
+
+__version__ = "0.1.0"
