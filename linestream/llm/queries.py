@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linestream.llm.common import table
+from linestream.llm.curves import nearest
 from linestream.llm.mixing import mix_documents
 from linestream.llm.packing import pack_documents
 from linestream.llm.quality import score_quality
+from linestream.llm.topk import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +41,27 @@ def _(spark, sf):
 @query("op10_source_mixing")
 def _(spark, sf):
     return mix_documents(table(spark, sf, "documents"))
+
+
+OP2 = """
+with v as (
+  select vec_id, min(embedding) x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0
+  group by vec_id),
+w as (select vec_id, list_transform(x, e -> floor(256 * e::double)::bigint) q from v),
+s as (
+  select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::bigint score
+  from w a, w b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op2_norm_bucket_topk", OP2)
+def _(spark, sf):
+    return top_products(table(spark, sf, "embeddings"))
+
+
+@query("op3_shifted_curves")
+def _(spark, sf):
+    return nearest(table(spark, sf, "embeddings"))
