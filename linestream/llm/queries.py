@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linestream.llm.common import table
 from linestream.llm.curves import nearest
+from linestream.llm.jaccard import jaccard_components
 from linestream.llm.mixing import mix_documents
 from linestream.llm.packing import pack_documents
 from linestream.llm.quality import score_quality
@@ -46,11 +47,11 @@ def _(spark, sf):
 OP2 = """
 with v as (
   select vec_id, min(embedding) x from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
   group by vec_id),
-w as (select vec_id, list_transform(x, e -> floor(256 * e::double)::bigint) q from v),
+w as (select vec_id, list_transform(x, lambda e: floor(256 * e::double)::bigint) q from v),
 s as (
-  select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::bigint score
+  select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint score
   from w a, w b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
@@ -65,3 +66,30 @@ def _(spark, sf):
 @query("op3_shifted_curves")
 def _(spark, sf):
     return nearest(table(spark, sf, "embeddings"))
+
+
+OP5 = r"""
+with recursive w as (
+  select row_number() over () uid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
+  from documents),
+s as (
+  select distinct uid, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end) sh
+  from w),
+n as (select uid, count(*) n from s group by uid),
+p as (
+  select a.uid u, b.uid v, count(*) i from s a join s b on a.sh = b.sh and a.uid < b.uid group by all),
+l as (
+  select u, v from p join n x on x.uid = u join n y on y.uid = v where 100 * i >= 90 * (x.n + y.n - i)),
+e as (select u, v from l union all select v, u from l),
+r(uid, at) as (select uid, uid from w union select r.uid, e.v from r join e on e.u = r.at),
+c as (select r.uid, min(w.doc_id) component_id from r join w on w.uid = r.at group by r.uid)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id
+from w left join n using (uid) join c using (uid)
+"""
+
+
+@query("op5_prefix_tree_join", OP5)
+def _(spark, sf):
+    return jaccard_components(table(spark, sf, "documents"))
