@@ -227,13 +227,13 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        waiting = 0
+        pairs = rows = longest = 0
 
         def flush() -> pa.RecordBatch:
             key = np.concatenate([np.full(len(g[0]), i) for i, g in enumerate(held)])
             side, c, n, pos, comp = (np.concatenate([g[i] for g in held]) for i in range(5))
-            rows = [r for g in held for r in g[5]]
-            found = tree_pairs(key, side, rows, n, pos, comp, percent)
+            tails = [r for g in held for r in g[5]]
+            found = tree_pairs(key, side, tails, n, pos, comp, percent)
             return pa.RecordBatch.from_arrays([pa.array(c[found[0]]), pa.array(c[found[1]])], names=names)
 
         def feed(state: list, b: pa.RecordBatch) -> None:
@@ -248,10 +248,11 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
         for group in per_key(batches, ["token", "x", "y"], lambda key: [], feed, finish):
             held.append(group)
-            waiting += len(group[0]) ** 2
-            if waiting > 1 << 19:
+            pairs, rows = pairs + len(group[0]) ** 2, rows + len(group[0])
+            longest = max(longest, *map(len, group[5]))
+            if pairs > 1 << 18 or rows * longest > 1 << 20:  # what one forest may hold
                 yield flush()
-                held, waiting = [], 0
+                held, pairs, rows, longest = [], 0, 0, 0
         if held:
             yield flush()
 

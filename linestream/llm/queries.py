@@ -83,8 +83,8 @@ p as (
 l as (
   select u, v from p join n x on x.uid = u join n y on y.uid = v where 100 * i >= 90 * (x.n + y.n - i)),
 e as (select u, v from l union all select v, u from l),
-r(uid, at) as (select uid, uid from w union select r.uid, e.v from r join e on e.u = r.at),
-c as (select r.uid, min(w.doc_id) component_id from r join w on w.uid = r.at group by r.uid)
+r(uid, node) as (select uid, uid from w union select r.uid, e.v from r join e on e.u = r.node),
+c as (select r.uid, min(w.doc_id) component_id from r join w on w.uid = r.node group by r.uid)
 select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id
 from w left join n using (uid) join c using (uid)
 """
