@@ -17,6 +17,8 @@ from linestream.llm.vectors import per_key
 WORDS, PERCENT = 3, 90
 #: Counters of the global order (a power of two), and rows of one side of a tree in one task.
 COUNTERS, BLOCK = 1 << 20, 1_024
+#: Counters of text hashes that spare texts without a candidate pair their way over the network.
+MASK = 1 << 20
 _PART = 4_096
 
 
@@ -49,22 +51,18 @@ def _quiet():
     return np.errstate(over="ignore")
 
 
-def global_order(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """Rank of each hash counter by the number of documents' n-grams that fall into it, over all documents.
+def counted(df: DataFrame, places, counters: int) -> np.ndarray:
+    """How many of the indices that ``places`` makes of each batch of ``df`` fall on each of ``counters`` counters.
 
     Every task adds up one array of counters; the arrays are summed piece by piece while they stream by.
-    What reaches the driver is the ``counters`` numbers, whatever the size of the data.  The order needs to be
-    the same everywhere, not exact: it only decides how selective prefixes are.
+    What reaches the driver is the ``counters`` numbers, whatever the size of the data.
     """
-    shift = np.uint64(64 - counters.bit_length() + 1)
     step = min(_PART, counters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for b in batches:
-            with _quiet():
-                hashes, _ = ngram_hashes(b.column("text"))
-            total += np.bincount((hashes >> shift).astype(np.int64), minlength=counters)
+            total += np.bincount(places(b), minlength=counters)
         small = total.max(initial=0) < 1 << 31
         parts = total.astype(np.int32 if small else np.int64).reshape(-1, step)
         used = np.flatnonzero(parts.any(axis=1))
@@ -79,12 +77,27 @@ def global_order(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
         yield _parts(list(total), [v.tobytes() for v in total.values()])
 
     kind = "part long, counts binary"
-    got = docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()
     total = np.zeros((counters // step, step), np.int64)
-    for r in got:
-        total[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    for r in df.mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
+        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return total.ravel()
+
+
+def global_order(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """Rank of each hash counter by the number of documents' n-grams that fall into it, over all documents.
+
+    The order needs to be the same everywhere, not exact: it only decides how selective prefixes are.
+    """
+    shift = np.uint64(64 - counters.bit_length() + 1)
+
+    def places(b: pa.RecordBatch) -> np.ndarray:
+        with _quiet():
+            hashes, _ = ngram_hashes(b.column("text"))
+        return (hashes >> shift).astype(np.int64)
+
+    total = counted(docs.select("text"), places, counters)
     rank = np.empty(counters, np.uint32)
-    rank[np.argsort(total.ravel(), kind="stable")] = np.arange(counters, dtype=np.uint32)
+    rank[np.argsort(total, kind="stable")] = np.arange(counters, dtype=np.uint32)
     return rank
 
 
@@ -134,15 +147,21 @@ def _sets(docs: DataFrame, rank: np.ndarray, percent: int, row: str | None) -> D
     return rows.mapInArrow(measure, "uid long, row long, doc_id long, th long, n long, s1 long, s2 long, prefix array<long>")
 
 
+def tree_length(n, percent: int = PERCENT):
+    """How many of its first tokens a set must show to meet every partner that is not smaller."""
+    return n - least_overlap(n, n, percent) + 1
+
+
 def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int):
     """Candidate pairs (probe, other) of rows with equal ``key``: a walk of all probes down one forest of prefix trees.
 
-    ``rows`` are the ordered tokens after the shared one, at ``pos`` of a set of ``n``.  Rows of side 1 or 2 are in the tree, of
-    side 0 or 2 are probes.  Sets with a common beginning share their nodes and so their overlap with a probe.
+    ``rows`` are the ordered tokens after the shared one, at ``pos`` of a set of ``n``.  All rows are probes; in the tree are
+    those whose shared token is early enough to meet partners that are not smaller.  Rows of side 0 and 1 only pair across.
+    Sets with a common beginning share their nodes and so their overlap with a probe.
     A subtree is left when the overlap so far and what remains of the shorter side cannot reach the needed overlap, or when
     all its sets are in the probe's own component already.
     """
-    inside = np.flatnonzero(side >= 1)
+    inside = np.flatnonzero(pos < tree_length(n, percent))
     length = np.array([len(rows[i]) for i in inside])
     depth = int(length.max(initial=0))
     all_tokens = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]))
@@ -162,8 +181,10 @@ def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.
     differs[1:] = table[1:, 0] != table[:-1, 0]
     starts = np.flatnonzero(differs)
     # Roots: one node per key; every probe begins at the node of its key.
-    probe = np.flatnonzero((side == 0) | (side == 2))
-    place = np.searchsorted(table[starts, 0], key[probe])
+    if not len(inside):
+        return np.zeros((2, 0), np.int64)
+    probe = np.arange(len(rows))
+    place = np.searchsorted(table[starts, 0], key)
     place[place == len(starts)] = 0
     hit = table[starts[place], 0] == key[probe]
     probe, node = probe[hit], place[hit]
@@ -175,7 +196,9 @@ def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.
         p, o, q, begin = (np.repeat(v, many) for v in (p, o, q, begin))
         other = inside[begin + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)]
         left = np.minimum(n[p] - pos[p] - 1 - q, n[other] - pos[other] - 1 - d)
-        good = (1 + o + left >= least_overlap(n[p], n[other], percent)) & (comp[p] != comp[other]) & ((side[p] != 2) | (other < p))
+        good = (1 + o + left >= least_overlap(n[p], n[other], percent)) & (comp[p] != comp[other])
+        good &= (side[p] == 2) | (side[p] != side[other])
+        good &= (n[other] < n[p]) | ((n[other] == n[p]) & (other < p))
         pairs.append(np.stack([p[good], other[good]]))
 
     for d in range(depth + 1):
@@ -260,6 +283,23 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
+    """(c, text) of the classes in ``need`` (c), one text each.
+
+    Before anything is shuffled, rows whose text hash falls on no counter of a needed one are left out.
+    """
+    used = written(reps.join(need.distinct(), "c", "left_semi").select("c", "th"), "used")
+    mask = counted(used.select("th"), lambda b: b.column("th").to_numpy() & (MASK - 1), MASK) > 0
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(mask[b.column("th").to_numpy() & (MASK - 1)]))
+
+    rows = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(maybe, "th long, text string")
+    once = rows.groupBy("th").agg(F.min("text").alias("text"))
+    return written(once.join(used, "th").select("c", "text"), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
 
@@ -293,34 +333,45 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     own = classes.select(F.col("c").alias("uid"))
     reps = sets.join(own, "uid").select(F.col("uid").alias("c"), "th", "n", "prefix")
     reps = written(reps, "representatives")
-    entries = reps.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = reps.select("c", F.posexplode("prefix").alias("pos", "token"))
     stats = entries.groupBy("token").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").drop("last")
-    shared = written(entries.join(stats, "token").select("token", "pos", "c", "n", "lead"), "shared")
-    # Texts of the classes that share a token of their prefix with another one, once each.
-    used = reps.join(shared.select("c").distinct(), "c", "left_semi").select("c", "th")
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(used, "th").groupBy("c").agg(F.min("text").alias("text"))
-    texts = written(texts, "used_texts")
+    shared = written(entries.join(stats, "token").select("token", "pos", "c", "lead"), "shared")
     # First each class against the first class it shares most tokens with: groups of near copies come together by stars.
     ties = shared.where("c <> lead").groupBy("c", "lead").agg(F.count("*").alias("k"))
     stars = ties.groupBy("c").agg(F.max(F.struct("k", (-F.col("lead")).alias("l"))).alias("m"))
+    # Only with a fair part of the prefix in common; what this leaves out is for the trees below.
+    stars = stars.join(reps.select("c", F.size("prefix").alias("size")), "c").where(F.col("m.k") * 4 >= F.col("size"))
     stars = stars.select(F.col("c").alias("a"), (-F.col("m.l")).alias("b"))
+    stars = written(stars, "star_pairs")
+    texts = _texts(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("c")))
     linked = written(_verified(stars, texts, percent), "stars")
     comp = written(components(linked), "components")
     # Then every pair of different components that some prefix tree cannot rule out.
-    owned = shared.join(comp, shared["c"] == comp["node"], "left").select(
-        "token", "pos", "c", "n", F.coalesce("component", "c").alias("comp")
-    )
-    open_tokens = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_tokens = open_tokens.where("lo < hi").select("token", blocks.alias("blocks"))
-    rows = owned.join(open_tokens, "token").withColumn("blk", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    half = 2 * percent  # a set meets those not smaller by fewer tokens: see tree_length
+    shortest = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
+    owned = shared.join(reps.select("c", "n"), "c").join(comp, F.col("c") == comp["node"], "left").select(
+        "token", "pos", "c", "n", F.coalesce("component", "c").alias("comp"),
+        (F.col("pos") < F.col("n") - F.ceil(F.col("n") * half / (100 + percent)) + 1).alias("tree"),
+    )
+    low = F.min(F.when(F.col("tree"), F.col("n"))).alias("low")
+    open_tokens = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), low, F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")
+    open_tokens = open_tokens.where("lo < hi and low is not null").select("token", "low", blocks)
+    # A row outside of the tree needs a smaller set in it; with the smallest there may be, its rest must suffice.
+    least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+    rows = owned.join(open_tokens, "token").where(F.col("tree") | (F.col("n") - F.col("pos") >= shortest(least, F.col("n"))))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("oth", other).withColumns({"x": F.least("blk", "oth"), "y": F.greatest("blk", "oth")})
     side = F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") == F.col("x"), 0).otherwise(1)
     rows = rows.withColumn("side", side).join(reps.select("c", "prefix"), "c")
-    tail = F.slice("prefix", F.col("pos") + 2, F.greatest(F.lit(0), F.size("prefix") - F.col("pos") - 1))
+    # What can be told apart is told by the tokens up to the tree's length; the last rows show a few more.
+    show = F.greatest(F.lit(8), F.col("n") - F.ceil(F.col("n") * half / (100 + percent)) - F.col("pos"))
+    tail = F.slice("prefix", F.col("pos") + 2, F.least(show, F.size("prefix") - F.col("pos") - 1).cast("int"))
     rows = rows.select("token", "x", "y", "side", "c", "n", F.col("pos").cast("long").alias("pos"), "comp", tail.alias("tail"))
-    more = written(_verified(written(_candidates(rows, percent), "candidates"), texts, percent), "links")
+    pairs = written(_candidates(rows, percent), "candidates")
+    texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("c")))
+    more = written(_verified(pairs, texts, percent), "links")
     final = components(linked.union(more))
     named = classes.join(final, classes["c"] == final["node"], "left").select(
         "s1", "s2", F.col("n").alias("size"), F.coalesce("component", "c").alias("component")

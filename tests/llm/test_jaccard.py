@@ -73,6 +73,7 @@ def got(df):
 def test_equals_brute_force(rows, monkeypatch, counters, block):
     monkeypatch.setattr(j, "BLOCK", block)
     monkeypatch.setattr(j.global_order, "__defaults__", (counters,))
+    monkeypatch.setattr(j, "MASK", min(counters, 1 << 20))
     want = brute([(r["doc_id"], r["text"]) for r in rows.collect()])
     assert got(j.jaccard_components(rows)) == want
 
