@@ -69,7 +69,11 @@ class Trees:
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each row; every tree is walked for all rows at once."""
+        """Probability of label 1 for each row."""
+        return 1 / (1 + np.exp(-self.margin(x)))
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of label 1 for each row; every tree is walked for all rows at once."""
         total, rows = np.full(len(x), self.base), np.arange(len(x))
         for root in self.roots:
             node = np.full(len(x), root)
@@ -77,30 +81,35 @@ class Trees:
                 down = self.left[node] + (x[rows, self.feature[node]] > self.cut[node])
                 node = np.where(self.left[node] < 0, node, down)
             total += self.value[node]
-        return 1 / (1 + np.exp(-total))
+        return total
+
 
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+    """Boosting on the logistic loss over binned features, rows counted ``weight`` times.
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Boosting on the logistic loss over binned features; without rows or with one label: the smoothed prior."""
+    Without rows or with one label: the smoothed prior.
+    """
+    weight = np.ones(len(y)) if weight is None else weight
+    x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
     n = len(y)
-    prior = (y.sum() + 0.5) / (n + 1)
+    prior = ((y * weight).sum() + 0.5) / (weight.sum() + 1)
     base = float(np.log(prior / (1 - prior)))
     feature, cut, left, value, roots = [], [], [], [], []
     if 0 < y.sum() < n:
-        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+        cuts = [_cuts(x[:, f]) for f in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
         flat = binned + np.arange(x.shape[1]) * BINS
         total = np.full(n, base)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-total))
-            grad, hess = y - p, p * (1 - p)
+            grad, hess = (y - p) * weight, p * (1 - p) * weight
             roots.append(len(feature))
             open_nodes = [(np.arange(n), _node(feature, cut, left, value))]
             for depth in range(DEPTH + 1):
                 below = []
                 for rows, at in open_nodes:
                     value[at] = RATE * grad[rows].sum() / (hess[rows].sum() + RIDGE)
-                    split = _best(flat[rows], grad[rows], hess[rows], x.shape[1], cuts) if depth < DEPTH else None
+                    split = _best(flat[rows], grad[rows], hess[rows], weight[rows], x.shape[1], cuts) if depth < DEPTH else None
                     if split is None:
                         total[rows] += value[at]
                         continue
@@ -115,20 +124,26 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(*arrays, base)
 
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Where bins end: between all values if they are few, else at quantiles."""
+    distinct = np.unique(values)
+    return distinct[:-1] if len(distinct) <= BINS else np.unique(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1]))
+
+
 def _node(feature: list, cut: list, left: list, value: list) -> int:
     for column, v in zip((feature, cut, left, value), (0, 0.0, -1, 0.0), strict=True):
         column.append(v)
     return len(feature) - 1
 
 
-def _best(flat: np.ndarray, grad: np.ndarray, hess: np.ndarray, width: int, cuts: list) -> tuple[int, int] | None:
+def _best(flat: np.ndarray, grad: np.ndarray, hess: np.ndarray, weight: np.ndarray, width: int, cuts: list) -> tuple[int, int] | None:
     """Feature and bin of the split that gains most, from one histogram of gradients, curvatures and rows."""
-    if len(grad) < 2 * LEAST:
+    if weight.sum() < 2 * LEAST:
         return None
     ids, size = flat.ravel(), width * BINS
-    hist = [np.bincount(ids, None if w is None else np.repeat(w, width), size).reshape(width, BINS) for w in (grad, hess, None)]
+    hist = [np.bincount(ids, np.repeat(w, width), size).reshape(width, BINS) for w in (grad, hess, weight)]
     g, h, n = (np.cumsum(a, axis=1) for a in hist)
-    tg, th, tn = grad.sum(), hess.sum(), len(grad)
+    tg, th, tn = grad.sum(), hess.sum(), weight.sum()
     gain = g**2 / (h + RIDGE) + (tg - g) ** 2 / (th - h + RIDGE) - tg**2 / (th + RIDGE)
     gain[(n < LEAST) | (tn - n < LEAST)] = -np.inf
     for f, c in enumerate(cuts):

@@ -11,7 +11,9 @@ from linestream.llm.curves import nearest
 from linestream.llm.jaccard import jaccard_components
 from linestream.llm.mixing import mix_documents
 from linestream.llm.packing import pack_documents
+from linestream.llm.pii import scan_personal_data
 from linestream.llm.quality import score_quality
+from linestream.llm.secrets import scan_secrets
 from linestream.llm.topk import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +95,13 @@ from w left join n using (uid) join c using (uid)
 @query("op5_prefix_tree_join", OP5)
 def _(spark, sf):
     return jaccard_components(table(spark, sf, "documents"))
+
+
+@query("op7_markov_secrets")
+def _(spark, sf):
+    return scan_secrets(table(spark, sf, "documents"))
+
+
+@query("op9_candidate_boosting")
+def _(spark, sf):
+    return scan_personal_data(table(spark, sf, "documents"))
