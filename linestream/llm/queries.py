@@ -15,6 +15,7 @@ from linestream.llm.pii import scan_personal_data
 from linestream.llm.quality import score_quality
 from linestream.llm.secrets import scan_secrets
 from linestream.llm.topk import top_products
+from linestream.llm.urls import filter_sql, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +106,11 @@ def _(spark, sf):
 @query("op9_candidate_boosting")
 def _(spark, sf):
     return scan_personal_data(table(spark, sf, "documents"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op1_link_propagation", filter_sql(URL_RULES))
+def _(spark, sf):
+    return filter_urls(table(spark, sf, "pages"), URL_RULES)
