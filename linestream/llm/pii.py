@@ -13,7 +13,7 @@ from linestream.llm.spans import find, overlaps, told, trees_column
 # given back: the same matches, without trying each place of a long run.)
 EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?<![0-9])[0-9]++(?:\\.[0-9]++){3}"
-CARD = "[0-9](?:[\\x20-]?[0-9])++"
+CARD = "[0-9](?:[\\x20-]?[0-9]){11,}+"  # shorter runs fail whole, wherever they are entered
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CARD_DIGITS, PHONE_DIGITS = (12, 19), (9, 15)
