@@ -35,14 +35,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once, compressed, to the folder all executors share, and read back.
 
     Cuts the lineage: a lost executor costs a read of this table, not the work that made it, and what was
     not repeatable (row ids, partition numbers) is fixed from here on.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

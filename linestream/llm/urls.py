@@ -63,10 +63,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     rows, so lost and repeated tasks change nothing.  A round is one pass over the edges joined with both ends, and a sum
     combined map-side; each is written to the shared folder.
     """
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", "snappy")
     out_links = edges.groupBy("src").agg(F.count("*").alias("outs"))
     in_links = edges.groupBy("dst").agg(F.count("*").alias("ins"))
-    edges = written(edges.join(out_links, "src").join(in_links, "dst"), "weighted")
+    edges = written(edges.join(out_links, "src").join(in_links, "dst"), "weighted", "snappy")
     n_good, n_bad = seeds.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     share = lambda flag, n: F.col(flag).cast("long") * F.lit(MASS // max(n, 1))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
@@ -74,7 +74,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     nodes = named.select(
         "host", F.coalesce(share("good", n_good), F.lit(0).cast("long")).alias("good"), F.coalesce(share("bad", n_bad), F.lit(0).cast("long")).alias("bad")
     )
-    now = written(nodes.withColumns({"trust": F.col("good"), "distrust": F.col("bad")}), "nodes")
+    now = written(nodes.withColumns({"trust": F.col("good"), "distrust": F.col("bad")}), "nodes", "snappy")
     carry = lambda mass, links: F.expr(f"{mass} * {DAMPING} div 100 div {links}")
     for _ in range(rounds):
         a = now.select(F.col("host").alias("src"), "trust")
@@ -88,7 +88,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         got = sent.select(F.explode(both).alias("x")).groupBy("x.host").agg(F.sum("x.t").alias("t"), F.sum("x.d").alias("d"))
         start = lambda seed, add: F.expr(f"{seed} * {100 - DAMPING} div 100") + F.coalesce(F.col(add), zero)
         now = now.select("host", "good", "bad").join(got, "host", "left")
-        now = written(now.select("host", "good", "bad", start("good", "t").alias("trust"), start("bad", "d").alias("distrust")), "nodes")
+        now = written(now.select("host", "good", "bad", start("good", "t").alias("trust"), start("bad", "d").alias("distrust")), "nodes", "snappy")
     return now.select("host", "trust", "distrust")
 
 
@@ -108,7 +108,7 @@ def filter_urls(pages: DataFrame, rules, rounds: int = ROUNDS) -> DataFrame:
         F.count("*").alias("n"), F.count(F.when(F.col("r.verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("r.verdict") == "allow", 1)).alias("a")
     )
     bad = F.col("b") * 2 > F.col("n")
-    seeds = written(tally.select("host", ((F.col("a") > 0) & ~bad).cast("long").alias("good"), bad.cast("long").alias("bad")), "seeds")
+    seeds = written(tally.select("host", ((F.col("a") > 0) & ~bad).cast("long").alias("good"), bad.cast("long").alias("bad")), "seeds", "snappy")
     ranks = propagate(host_edges(base), seeds, rounds)
     hosts = max(ranks.count(), 1)
     out = seen.join(ranks, "host", "left")
