@@ -13,6 +13,7 @@ from linestream.llm.mixing import mix_documents
 from linestream.llm.packing import pack_documents
 from linestream.llm.pii import scan_personal_data
 from linestream.llm.quality import score_quality
+from linestream.llm.scoring import score_documents
 from linestream.llm.secrets import scan_secrets
 from linestream.llm.topk import top_products
 from linestream.llm.urls import filter_sql, filter_urls
@@ -114,3 +115,8 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 @query("op1_link_propagation", filter_sql(URL_RULES))
 def _(spark, sf):
     return filter_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op6_elias_fano_scores")
+def _(spark, sf):
+    return score_documents(table(spark, sf, "documents"))
