@@ -28,6 +28,20 @@ def _raw(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _zip(a: np.ndarray) -> bytes:
+    """An array byte plane by byte plane, compressed: small numbers leave their upper planes empty."""
+    raw = _raw(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T) if len(a) else b""
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unzip(b: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    if not size:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def _row(**cols) -> pa.RecordBatch:
     """One row; bytes are binary, ints long, lists of ints long arrays."""
     return pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in cols.items()})
@@ -43,12 +57,16 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate([k[2] for k in kept])
-            words, places = np.unique(flat, return_inverse=True)
+            words, places, often = np.unique(flat, return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(by), np.int32)
+            rank[by] = np.arange(len(by))
+            words, places = words[by], rank[places]
             ids = [i for k in kept for i in k[0]]
             return _row(
                 block=block, ids=_raw(np.array([i or 0 for i in ids], np.int64)), none=_raw(np.array([i is None for i in ids])),
                 held=_raw(np.concatenate([k[1] for k in kept])), sizes=_raw(np.concatenate([k[3] for k in kept])),
-                words=_raw(words), tokens=_raw(places.astype(np.int32)),
+                words=_raw(words), tokens=_zip(places),
             )
 
         for whole in batches:
@@ -71,8 +89,8 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
 
 
 def _open(b: dict) -> dict:
-    kinds = {"ids": np.int64, "none": bool, "held": bool, "sizes": np.int64, "words": np.uint64, "tokens": np.int32}
-    return {k: np.frombuffer(b[k], t) for k, t in kinds.items()} | {"block": b["block"]}
+    kinds = {"ids": np.int64, "none": bool, "held": bool, "sizes": np.int64, "words": np.uint64}
+    return {k: np.frombuffer(b[k], t) for k, t in kinds.items()} | {"block": b["block"], "tokens": _unzip(b["tokens"], np.int32)}
 
 
 def _shard_of(words: np.ndarray, shards: int) -> np.ndarray:
@@ -93,15 +111,15 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
                     part = order[cuts[s] : cuts[s + 1]]
-                    yield _row(shard=int(s), block=b["block"], words=_raw(b["words"][part]), n=_raw(n[part].astype(np.int64)))
+                    yield _row(shard=int(s), block=b["block"], words=_raw(b["words"][part]), n=_zip(n[part].astype(np.int64)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(state: list) -> pa.RecordBatch:
             words = [np.frombuffer(r["words"], np.uint64) for r in state]
             distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(place, np.concatenate([np.frombuffer(r["n"], np.int64) for r in state]), len(distinct)).astype(np.int64)
+            total = np.bincount(place, np.concatenate([_unzip(r["n"], np.int64) for r in state]), len(distinct)).astype(np.int64)
             ends = np.cumsum([len(w) for w in words])
-            counts = [_raw(total[p]) for p in np.split(place, ends[:-1])]
+            counts = [_zip(total[p]) for p in np.split(place, ends[:-1])]
             known = [int((total > 0).sum())] + [0] * (len(state) - 1)
             cols = [[r["block"] for r in state], [r["shard"] for r in state], counts, known]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["block", "shard", "counts", "known"])
@@ -132,11 +150,11 @@ def _asked(blocks: DataFrame, counts: DataFrame, total: int, known: int, shards:
                 shard = _shard_of(words, shards)
                 c = np.zeros(len(words), np.int64)
                 for part in raw["c"]:
-                    c[shard == part["shard"]] = np.frombuffer(part["counts"], np.int64)
+                    c[shard == part["shard"]] = _unzip(part["counts"], np.int64)
                 tok, doc = b["tokens"], np.repeat(np.arange(docs), sizes)
                 one = np.log10((c + ADD) / scale)
                 base = np.bincount(doc, one[tok], docs)
-                end = c[np.searchsorted(words, END)]
+                end = c[np.flatnonzero(words == END)[0]]
                 first = np.cumsum(sizes) - sizes
                 before = np.concatenate([[0], tok[:-1]]).astype(np.int64)
                 before[first] = len(words)  # the start of a text is as frequent as its end
@@ -169,9 +187,9 @@ def _asked(blocks: DataFrame, counts: DataFrame, total: int, known: int, shards:
                     prior = np.rint(np.log2(c[w[g]] + ADD) * _CODE + 4 * _CODE).astype(np.uint16)
                     spots = np.repeat(begin[g] - (np.cumsum(uses[g]) - uses[g]), uses[g]) + np.arange(uses[g].sum())
                     yield _row(
-                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_raw(ctx[start]), many=_raw(np.diff(np.append(start, len(g))).astype(np.uint32)),
-                        word=_raw(five), prior=_raw(prior), n=_raw(n[g].astype(np.uint32)), uses=_raw(uses[g].astype(np.uint32)),
-                        where_=_raw(doc[order][spots].astype(np.uint16)),
+                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_raw(ctx[start]), many=_zip(np.diff(np.append(start, len(g))).astype(np.uint32)),
+                        word=_raw(five), prior=_zip(prior), n=_zip(n[g].astype(np.uint32)), uses=_zip(uses[g].astype(np.uint32)),
+                        where_=_zip(doc[order][spots].astype(np.uint16)),
                     )
 
     return blocks.join(by_block, "block").mapInArrow(ask, _ASKED)
@@ -187,14 +205,14 @@ def _answered(asked: DataFrame, scale: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array([b""] * len(state))], names=names)
         sizes, context, word, prior, n = [], [], [], [], []
         for r in state:
-            many = np.frombuffer(r["many"], np.uint32)
+            many = _unzip(r["many"], np.uint32)
             context.append(np.repeat(np.frombuffer(r["context"], np.uint64), many))
             five = np.frombuffer(r["word"], np.uint8).reshape(-1, WORD_BITS // 8)
             wide = np.zeros((len(five), 8), np.uint8)
             wide[:, : WORD_BITS // 8] = five
             word.append(wide.view(np.uint64).ravel())
-            prior.append(np.frombuffer(r["prior"], np.uint16))
-            n.append(np.frombuffer(r["n"], np.uint32))
+            prior.append(_unzip(r["prior"], np.uint16))
+            n.append(_unzip(r["n"], np.uint32))
             sizes.append(len(five))
         context, word, prior, n = (np.concatenate(x) for x in (context, word, prior, n))
         learn = np.flatnonzero(n)
@@ -207,8 +225,8 @@ def _answered(asked: DataFrame, scale: float) -> DataFrame:
         value = np.nan_to_num(trie.values(context, word))
         gains, at = [], 0
         for r, size in zip(state, sizes, strict=True):
-            uses = np.frombuffer(r["uses"], np.uint32)
-            gains.append(_raw(np.bincount(np.frombuffer(r["where_"], np.uint16), np.repeat(value[at : at + size], uses), r["docs"])))
+            uses = _unzip(r["uses"], np.uint32)
+            gains.append(_raw(np.bincount(_unzip(r["where_"], np.uint16), np.repeat(value[at : at + size], uses), r["docs"])))
             at += size
         cols = [[r["block"] for r in state], [r["docs"] for r in state], [b""] * len(state), gains]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
