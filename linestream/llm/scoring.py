@@ -21,6 +21,9 @@ BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS = 1 << 20, 60_000, 1 << 20
 PRIOR, ADD = 4.0, 0.1
 END, START = np.uint64(0x5E4D3C2B1A09F8E7), np.uint64(0x1B2C3D4E5F60718A)
 _MASK = np.uint64((1 << WORD_BITS) - 1)
+#: Bits of a context's hash within its shard.
+CONTEXT_BITS = 48
+_CONTEXT = np.uint64((1 << CONTEXT_BITS) - 1)
 _CODE = 512.0
 
 
@@ -42,6 +45,14 @@ def _unzip(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+def _widen(b: bytes, bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits as 64-bit ones."""
+    few = np.frombuffer(b, np.uint8).reshape(-1, bits // 8)
+    wide = np.zeros((len(few), 8), np.uint8)
+    wide[:, : bits // 8] = few
+    return wide.view(np.uint64).ravel()
+
+
 def _row(**cols) -> pa.RecordBatch:
     """One row; bytes are binary, ints long, lists of ints long arrays."""
     return pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in cols.items()})
@@ -174,7 +185,7 @@ def _asked(blocks: DataFrame, counts: DataFrame, total: int, known: int, shards:
                 train = ~b["held"][doc[order]]
                 n = np.add.reduceat(train.astype(np.int64), begin)
                 uses = np.diff(np.append(begin, len(p)))
-                cv, hw = np.append(words, START)[v], words[w] & _MASK
+                cv, hw = np.append(words, START)[v] & _CONTEXT, words[w] & _MASK
                 slices = 1 + of[v] * 4 * shards // max(total, 1)
                 s = (mix64(cv ^ np.uint64(991)) + hw % slices.astype(np.uint64)) % np.uint64(shards)
                 by = np.lexsort((hw, cv, s))
@@ -184,10 +195,11 @@ def _asked(blocks: DataFrame, counts: DataFrame, total: int, known: int, shards:
                     ctx = cv[g]
                     start = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
                     five = hw[g].view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
+                    six = ctx[start].view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]
                     prior = np.rint(np.log2(c[w[g]] + ADD) * _CODE + 4 * _CODE).astype(np.uint16)
                     spots = np.repeat(begin[g] - (np.cumsum(uses[g]) - uses[g]), uses[g]) + np.arange(uses[g].sum())
                     yield _row(
-                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_raw(ctx[start]), many=_zip(np.diff(np.append(start, len(g))).astype(np.uint32)),
+                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_raw(six), many=_zip(np.diff(np.append(start, len(g))).astype(np.uint32)),
                         word=_raw(five), prior=_zip(prior), n=_zip(n[g].astype(np.uint32)), uses=_zip(uses[g].astype(np.uint32)),
                         where_=_zip(doc[order][spots].astype(np.uint16)),
                     )
@@ -206,14 +218,11 @@ def _answered(asked: DataFrame, scale: float) -> DataFrame:
         sizes, context, word, prior, n = [], [], [], [], []
         for r in state:
             many = _unzip(r["many"], np.uint32)
-            context.append(np.repeat(np.frombuffer(r["context"], np.uint64), many))
-            five = np.frombuffer(r["word"], np.uint8).reshape(-1, WORD_BITS // 8)
-            wide = np.zeros((len(five), 8), np.uint8)
-            wide[:, : WORD_BITS // 8] = five
-            word.append(wide.view(np.uint64).ravel())
+            context.append(np.repeat(_widen(r["context"], CONTEXT_BITS), many))
+            word.append(_widen(r["word"], WORD_BITS))
             prior.append(_unzip(r["prior"], np.uint16))
             n.append(_unzip(r["n"], np.uint32))
-            sizes.append(len(five))
+            sizes.append(len(word[-1]))
         context, word, prior, n = (np.concatenate(x) for x in (context, word, prior, n))
         learn = np.flatnonzero(n)
         order = learn[np.lexsort((word[learn], context[learn]))]
@@ -226,7 +235,8 @@ def _answered(asked: DataFrame, scale: float) -> DataFrame:
         gains, at = [], 0
         for r, size in zip(state, sizes, strict=True):
             uses = _unzip(r["uses"], np.uint32)
-            gains.append(_raw(np.bincount(_unzip(r["where_"], np.uint16), np.repeat(value[at : at + size], uses), r["docs"])))
+            gain = np.bincount(_unzip(r["where_"], np.uint16), np.repeat(value[at : at + size], uses), r["docs"])
+            gains.append(_zip(gain.astype(np.float32)))
             at += size
         cols = [[r["block"] for r in state], [r["docs"] for r in state], [b""] * len(state), gains]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
@@ -283,7 +293,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
             if r["info"]:
                 state["info"], state["docs"] = r["info"], r["docs"]
             else:
-                state["gain"] = state["gain"] + np.frombuffer(r["gain"], np.float64)
+                state["gain"] = state["gain"] + _unzip(r["gain"], np.float32).astype(np.float64)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return per_key(batches, ["block"], lambda key: {"gain": 0.0}, feed, finish)

@@ -34,18 +34,22 @@ class EliasFano:
         unary = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
         unary[high + np.arange(n)] = 1
         packed = np.packbits(unary)
-        shifts = np.arange(low_bits, dtype=np.uint64)
+        shifts = np.arange(low_bits, dtype=np.uint64)[::-1]
         low = [np.packbits(((v[i : i + (1 << 16)][:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()) for i in range(0, n, 1 << 16)]
         head = np.array([n, low_bits, len(packed)], np.int64)
-        return head.tobytes() + packed.tobytes() + b"".join(x.tobytes() for x in low) + b"\0" * 8
+        return head.tobytes() + packed.tobytes() + b"".join(x.tobytes() for x in low) + b"\0" * 16
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``."""
-        low = np.zeros(len(i), np.uint64)
         first = i.astype(np.int64) * self.low_bits
-        for b in range(self.low_bits):
-            place = first + b
-            low |= ((self._low[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
+        eight = np.empty((len(i), 8), np.uint8)
+        for k in range(8):
+            eight[:, k] = self._low[(first >> 3) + k]
+        skip = (first & 7).astype(np.uint64)
+        low = eight.view(">u8").ravel().astype(np.uint64) << skip
+        if self.low_bits > 57:
+            low |= self._low[(first >> 3) + 8].astype(np.uint64) >> (np.uint64(8) - skip)
+        low = low >> np.uint64(64 - self.low_bits) if self.low_bits else np.zeros(len(i), np.uint64)
         return (self._ones[i].astype(np.uint64) << np.uint64(self.low_bits)) | low
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
