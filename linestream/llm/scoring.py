@@ -19,12 +19,14 @@ from linestream.llm.vectors import per_key
 BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS = 1 << 20, 60_000, 1 << 20
 #: Weight of the single-word model behind a context; added to each word's count.
 PRIOR, ADD = 4.0, 0.1
-END, START = np.uint64(0x5E4D3C2B1A09F8E7), np.uint64(0x1B2C3D4E5F60718A)
+#: Bits of a word hash; the hashes of a text's end and start.
+HASH_BITS = 56
+END, START = np.uint64(0x4D3C2B1A09F8E7), np.uint64(0x2C3D4E5F60718A)
 _MASK = np.uint64((1 << WORD_BITS) - 1)
 #: Bits of a context's hash within its shard.
 CONTEXT_BITS = 48
 _CONTEXT = np.uint64((1 << CONTEXT_BITS) - 1)
-_CODE = 512.0
+_CODE = 64.0
 
 
 def _raw(a: np.ndarray) -> bytes:
@@ -45,6 +47,11 @@ def _unzip(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+def _narrow(a: np.ndarray, bits: int) -> bytes:
+    """64-bit numbers by their lowest ``bits`` bits."""
+    return _raw(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, : bits // 8])
+
+
 def _widen(b: bytes, bits: int) -> np.ndarray:
     """Numbers of ``bits`` bits as 64-bit ones."""
     few = np.frombuffer(b, np.uint8).reshape(-1, bits // 8)
@@ -77,7 +84,7 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
             return _row(
                 block=block, ids=_raw(np.array([i or 0 for i in ids], np.int64)), none=_raw(np.array([i is None for i in ids])),
                 held=_raw(np.concatenate([k[1] for k in kept])), sizes=_raw(np.concatenate([k[3] for k in kept])),
-                words=_raw(words), tokens=_zip(places),
+                words=_narrow(words, HASH_BITS), tokens=_zip(places),
             )
 
         for whole in batches:
@@ -85,7 +92,7 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
                 b = whole.slice(i, 256)
                 h, first = word_hashes(b.column("text"))
                 sizes = np.diff(first) + 1
-                flat = np.insert(h, first[1:], END)
+                flat = np.insert(h & np.uint64((1 << HASH_BITS) - 1), first[1:], END)
                 kept.append((b.column("doc_id").to_pylist(), np.array(b.column("held").to_pylist(), bool), flat, sizes))
                 tokens, docs_ = tokens + len(flat), docs_ + len(b)
                 if tokens >= BLOCK_TOKENS or docs_ >= BLOCK_DOCS:
@@ -100,8 +107,9 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
 
 
 def _open(b: dict) -> dict:
-    kinds = {"ids": np.int64, "none": bool, "held": bool, "sizes": np.int64, "words": np.uint64}
-    return {k: np.frombuffer(b[k], t) for k, t in kinds.items()} | {"block": b["block"], "tokens": _unzip(b["tokens"], np.int32)}
+    kinds = {"ids": np.int64, "none": bool, "held": bool, "sizes": np.int64}
+    known = {k: np.frombuffer(b[k], t) for k, t in kinds.items()}
+    return known | {"block": b["block"], "words": _widen(b["words"], HASH_BITS), "tokens": _unzip(b["tokens"], np.int32)}
 
 
 def _shard_of(words: np.ndarray, shards: int) -> np.ndarray:
@@ -122,11 +130,11 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
                     part = order[cuts[s] : cuts[s + 1]]
-                    yield _row(shard=int(s), block=b["block"], words=_raw(b["words"][part]), n=_zip(n[part].astype(np.int64)))
+                    yield _row(shard=int(s), block=b["block"], words=_narrow(b["words"][part], HASH_BITS), n=_zip(n[part].astype(np.int64)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(state: list) -> pa.RecordBatch:
-            words = [np.frombuffer(r["words"], np.uint64) for r in state]
+            words = [_widen(r["words"], HASH_BITS) for r in state]
             distinct, place = np.unique(np.concatenate(words), return_inverse=True)
             total = np.bincount(place, np.concatenate([_unzip(r["n"], np.int64) for r in state]), len(distinct)).astype(np.int64)
             ends = np.cumsum([len(w) for w in words])
@@ -194,13 +202,11 @@ def _asked(blocks: DataFrame, counts: DataFrame, total: int, known: int, shards:
                     g = by[cuts[k] : cuts[k + 1]]
                     ctx = cv[g]
                     start = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-                    five = hw[g].view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
-                    six = ctx[start].view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]
                     prior = np.rint(np.log2(c[w[g]] + ADD) * _CODE + 4 * _CODE).astype(np.uint16)
                     spots = np.repeat(begin[g] - (np.cumsum(uses[g]) - uses[g]), uses[g]) + np.arange(uses[g].sum())
                     yield _row(
-                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_raw(six), many=_zip(np.diff(np.append(start, len(g))).astype(np.uint32)),
-                        word=_raw(five), prior=_zip(prior), n=_zip(n[g].astype(np.uint32)), uses=_zip(uses[g].astype(np.uint32)),
+                        shard=int(k), block=b["block"], docs=docs, info=b"", context=_narrow(ctx[start], CONTEXT_BITS), many=_zip(np.diff(np.append(start, len(g))).astype(np.uint32)),
+                        word=_narrow(hw[g], WORD_BITS), prior=_zip(prior), n=_zip(n[g].astype(np.uint32)), uses=_zip(uses[g].astype(np.uint32)),
                         where_=_zip(doc[order][spots].astype(np.uint16)),
                     )
 
@@ -258,7 +264,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     Documents become blocks of numbers, written once.  Words, then pairs, are dealt to shards by hash, distinct within a
     block; a shard sums the training counts of all blocks, and answers all blocks.  A frequent context is dealt
     to as many shards as its count asks for.  The number of shards follows the tokens, so a shard's memory does not grow.
-    Word counts are exact up to 64-bit hashes of words.
+    Word counts are exact up to 56-bit hashes of words.
 
     Null and empty texts are one end token; null ids are learned from and not held out; repeated rows are scored alike; without
     training documents nothing is known; an empty table gives an empty result; other columns are ignored.
