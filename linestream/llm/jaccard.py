@@ -17,6 +17,8 @@ from linestream.llm.vectors import per_key
 WORDS, PERCENT = 3, 90
 #: Counters of the global order (a power of two), and rows of one side of a tree in one task.
 COUNTERS, BLOCK = 1 << 20, 1_024
+#: Tokens just ahead of the shared one that a row brings along, to tell a pair that met at one of them before.
+HEAD = 4
 #: Counters of text hashes that spare texts without a candidate pair their way over the network.
 MASK = 1 << 20
 _PART = 4_096
@@ -152,7 +154,19 @@ def tree_length(n, percent: int = PERCENT):
     return n - least_overlap(n, n, percent) + 1
 
 
-def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int):
+def met_before(head: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs (p, q) have a token of their ``head`` (a row of tokens each, filled up with -1) in common."""
+    out = np.zeros(len(p), bool)
+    for i in range(head.shape[1]):
+        mine = head[p, i]
+        out |= (mine >= 0) & (head[q] == mine[:, None]).any(axis=1)
+    return out
+
+
+def tree_pairs(
+    key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int,
+    head: np.ndarray | None = None,
+):
     """Candidate pairs (probe, other) of rows with equal ``key``: a walk of all probes down one forest of prefix trees.
 
     ``rows`` are the ordered tokens after the shared one, at ``pos`` of a set of ``n``.  All rows are probes; in the tree are
@@ -160,7 +174,12 @@ def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.
     Sets with a common beginning share their nodes and so their overlap with a probe.
     A subtree is left when the overlap so far and what remains of the shorter side cannot reach the needed overlap, or when
     all its sets are in the probe's own component already.
+
+    A pair with a token of ``head`` in common is not proposed here.  That loses nothing: two sets that link pass every test
+    at the first token they share, where no earlier one can be common.
     """
+    if head is None:
+        head = np.full((len(rows), 0), -1, np.int64)
     inside = np.flatnonzero(pos < tree_length(n, percent))
     length = np.array([len(rows[i]) for i in inside])
     depth = int(length.max(initial=0))
@@ -199,7 +218,9 @@ def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.
         good = (1 + o + left >= least_overlap(n[p], n[other], percent)) & (comp[p] != comp[other])
         good &= (side[p] == 2) | (side[p] != side[other])
         good &= (n[other] < n[p]) | ((n[other] == n[p]) & (other < p))
-        pairs.append(np.stack([p[good], other[good]]))
+        p, other = p[good], other[good]
+        new = ~met_before(head, p, other)
+        pairs.append(np.stack([p[new], other[new]]))
 
     for d in range(depth + 1):
         ends = np.append(starts[1:], len(inside))
@@ -245,7 +266,7 @@ def tree_pairs(key: np.ndarray, side: np.ndarray, rows: list[np.ndarray], n: np.
 
 
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from rows token, x, y, side, c, n, pos, comp, tail: trees of one key (token, x, y) after another."""
+    """Pairs (a, b) from rows token, x, y, side, c, n, pos, comp, tail, head: trees of one key (token, x, y) after another."""
     names = ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,19 +276,23 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             key = np.concatenate([np.full(len(g[0]), i) for i, g in enumerate(held)])
             side, c, n, pos, comp = (np.concatenate([g[i] for g in held]) for i in range(5))
-            tails = [r for g in held for r in g[5]]
-            found = tree_pairs(key, side, tails, n, pos, comp, percent)
+            tails, heads = ([r for g in held for r in g[i]] for i in (5, 6))
+            head = np.full((len(heads), HEAD), -1, np.int64)
+            for i, r in enumerate(heads):
+                head[i, : len(r)] = r
+            found = tree_pairs(key, side, tails, n, pos, comp, percent, head)
             return pa.RecordBatch.from_arrays([pa.array(c[found[0]]), pa.array(c[found[1]])], names=names)
 
         def feed(state: list, b: pa.RecordBatch) -> None:
-            tails = b.column("tail")
-            offsets, flat = np.asarray(tails.offsets), np.asarray(tails.values)
-            rows = [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            state.append([*(b.column(x).to_numpy() for x in ("side", "c", "n", "pos", "comp")), rows])
+            rows = []
+            for lists in (b.column("tail"), b.column("head")):
+                offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+                rows.append([flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+            state.append([*(b.column(x).to_numpy() for x in ("side", "c", "n", "pos", "comp")), *rows])
 
         def finish(state: list) -> tuple:
             cols = [np.concatenate([s[i] for s in state]) for i in range(5)]
-            return (*cols, [r for s in state for r in s[5]])
+            return (*cols, *([r for s in state for r in s[i]] for i in (5, 6)))
 
         for group in per_key(batches, ["token", "x", "y"], lambda key: [], feed, finish):
             held.append(group)
@@ -368,7 +393,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     # What can be told apart is told by the tokens up to the tree's length; the last rows show a few more.
     show = F.greatest(F.lit(8), F.col("n") - F.ceil(F.col("n") * half / (100 + percent)) - F.col("pos"))
     tail = F.slice("prefix", F.col("pos") + 2, F.least(show, F.size("prefix") - F.col("pos") - 1).cast("int"))
-    rows = rows.select("token", "x", "y", "side", "c", "n", F.col("pos").cast("long").alias("pos"), "comp", tail.alias("tail"))
+    begin = F.greatest(F.col("pos") - HEAD, F.lit(0))
+    head = F.slice("prefix", begin + 1, F.col("pos") - begin).alias("head")
+    rows = rows.select("token", "x", "y", "side", "c", "n", F.col("pos").cast("long").alias("pos"), "comp", tail.alias("tail"), head)
     pairs = written(_candidates(rows, percent), "candidates")
     texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("c")))
     more = written(_verified(pairs, texts, percent), "links")

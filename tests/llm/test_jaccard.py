@@ -99,7 +99,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert j.jaccard_components(no_docs).count() == 0
 
 
-def test_trees_rule_out_no_link():
+@pytest.mark.parametrize("heads", [0, 1, 3])
+def test_trees_rule_out_no_link(heads):
+    """Without heads a pair is proposed at every token that fits, with them at fewer, but at one at least."""
     rng = random.Random(9)
     for _ in range(40):
         base = sorted(rng.sample(range(1000), 30))
@@ -115,7 +117,9 @@ def test_trees_rule_out_no_link():
             two = np.full(len(have), 2)
             mix = rng.sample(range(len(have)), len(have))
             have, pos, tails = [have[m] for m in mix], pos[mix], [tails[m] for m in mix]
-            pairs = j.tree_pairs(np.zeros(len(have), int), two, tails, n[have], pos, np.array(have), 90)
+            before = [keep[i][max(0, p - heads) : p] for i, p in zip(have, pos, strict=True)]
+            head = np.array([[*b, *[-1] * (heads - len(b))] for b in before], np.int64).reshape(len(have), heads)
+            pairs = j.tree_pairs(np.zeros(len(have), int), two, tails, n[have], pos, np.array(have), 90, head)
             found |= {(max(have[a], have[b]), min(have[a], have[b])) for a, b in pairs.T}
         assert want <= found
 
