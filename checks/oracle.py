@@ -88,7 +88,7 @@ CTE: dict[str, tuple[list[str], str]] = {
         """
         SELECT lang AS source, token, concat('lx', token) AS out
         FROM (SELECT lang, unnest(string_split(text, ' ')) AS token FROM doc_lines)
-        GROUP BY lang, token HAVING count(*) >= 20""",
+        WHERE length(token) % 2 = 0 GROUP BY lang, token""",
     ),
     "codes": (
         [],
@@ -111,7 +111,7 @@ CTE: dict[str, tuple[list[str], str]] = {
         """
         SELECT r_regionkey AS id, r_regionkey * 1000.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1000.0::DOUBLE AS w,
                800.0::DOUBLE AS h, (1 + r_regionkey % 2)::DOUBLE AS scale
-        FROM region WHERE r_regionkey < 4""",
+        FROM region""",
     ),
     "rects": (
         [],
@@ -263,7 +263,6 @@ CTE: dict[str, tuple[list[str], str]] = {
         """
         SELECT session_id, frame_seq, string_agg(text, chr(10) ORDER BY line_no) AS text FROM clean GROUP BY ALL""",
     ),
-    "odd_texts": (["doc_lines"], "SELECT doc_id, line_no, text FROM doc_lines WHERE doc_id % 2 = 1"),
 }
 
 
@@ -285,7 +284,7 @@ def _scored(texts: str, ids: str) -> str:
 
 
 FRAME_IDS, LINE_IDS = "session_id, frame_seq", "session_id, frame_seq, line_no"
-CTE["scored_odd"] = (["odd_texts", "model"], _scored("odd_texts", "doc_id, line_no"))
+CTE["scored_texts"] = (["doc_lines", "model"], _scored("doc_lines", "doc_id, line_no"))
 CTE["scored_lines"] = (["line_texts", "model"], _scored("line_texts", LINE_IDS))
 CTE["scored_frames"] = (["frame_texts", "model"], _scored("frame_texts", FRAME_IDS))
 CTE["sources"] = (
@@ -449,7 +448,7 @@ _DATED = r"""
            CASE WHEN n9 THEN '2024-01-05' ELSE '' END AS date,
            regexp_replace(regexp_replace(body, '^[\p{Z}\t\n\x0B\f\r\x{FEFF}]+', ''), '[\p{Z}\t\n\x0B\f\r\x{FEFF}]+$', '') AS body
     FROM (
-      SELECT doc_id, section_no, bool_or(is_head AND n % 9 = 0) AS n9, any_value(substring(text, 1, 12)) FILTER (WHERE is_head) AS h,
+      SELECT doc_id, section_no, bool_or(is_head AND n % 9 = 0) AS n9, any_value(text) FILTER (WHERE is_head) AS h,
              coalesce(string_agg(concat(chr(160), text), chr(10) ORDER BY line_no) FILTER (WHERE NOT is_head), '') AS body
       FROM (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section_no
             FROM (SELECT *, doc_id + line_no AS n, ((doc_id + line_no) % 9 = 0 OR (doc_id + line_no) % 7 = 0) AS is_head
@@ -459,9 +458,9 @@ _DATED = r"""
 _SLUGS = r"""
     SELECT doc_id, section_no, title, CASE WHEN k = 1 THEN s ELSE concat(s, '-', k - 1) END AS slug FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY section_no) AS k FROM (
-        SELECT doc_id, section_no, concat(' ', substring(title, 1, 2), ' - A!') AS title,
+        SELECT doc_id, section_no, concat(' ', title, ' - A!') AS title,
           -- Letters outside ASCII go, then the white space and hyphens around "-" become one hyphen.
-          concat(regexp_replace(lower(substring(title, 1, 2)), '[^A-Za-z0-9_-]', '', 'g'), '-a') AS s
+          concat(regexp_replace(lower(title), '[^A-Za-z0-9_-]', '', 'g'), '-a') AS s
         FROM sectioned))"""
 
 ORACLE: dict[str, str] = {
@@ -531,8 +530,8 @@ ORACLE: dict[str, str] = {
         """
         SELECT t.doc_id, t.line_no, CASE WHEN s.confidence >= 0.65 THEN s.best END AS detected,
                round(s.confidence, 6) AS confidence
-        FROM odd_texts t LEFT JOIN scored_odd s USING (doc_id, line_no)""",
-        "scored_odd",
+        FROM doc_lines t LEFT JOIN scored_texts s USING (doc_id, line_no)""",
+        "scored_texts",
     ),
     "resolve_sources": _sql("SELECT session_id, frame_seq, line_no, source FROM sources", "sources"),
     "normalize_language": _sql(
@@ -551,7 +550,7 @@ ORACLE: dict[str, str] = {
         _CATALOG.format(
             codes="""
           SELECT DISTINCT m.maximal AS code, false AS is_auto FROM documents d JOIN maxi m ON m.lang = d.lang
-          WHERE d.lang IN (SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages) AND d.lang <> 'de'
+          WHERE d.lang IN (SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages)
           UNION ALL SELECT 'auto', true"""
         ),
         "names",

@@ -185,8 +185,8 @@ def _(spark, sf):
 
 @query("detect_language")
 def _(spark, sf):
-    odd = lines_from_text(fx.documents(spark, sf).where(F.col("doc_id") % 2 == 1), ["doc_id"])
-    found = lg.detect_language(odd, _profile(spark, sf), ["doc_id", "line_no"], 0.65)
+    texts = lines_from_text(fx.documents(spark, sf), ["doc_id"])
+    found = lg.detect_language(texts, _profile(spark, sf), ["doc_id", "line_no"], 0.65)
     return rounded(found, "confidence")
 
 
@@ -207,7 +207,7 @@ def _(spark, sf):
 def _catalog(spark, sf, for_source):
     docs = fx.table(spark, sf, "documents").select(F.col("lang").alias("code"))
     html = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
-    pages = fx.table(spark, sf, "pages").select(html.alias("code")).where(F.col("code") != "de")
+    pages = fx.table(spark, sf, "pages").select(html.alias("code"))
     return lg.language_catalog(docs, pages, fx.language_names(spark), for_source)
 
 
@@ -426,7 +426,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Headings in the default form, with and without a date."""
     n = F.col("doc_id") + F.col("line_no")
-    head = F.concat(F.lit("##  "), F.substring("text", 1, 12), F.lit(" "))
+    head = F.concat(F.lit("##  "), F.col("text"), F.lit(" "))
     text = (
         F.when(n % 9 == 0, F.concat(head, F.lit(" (2024-01-05)  ")))
         .when(n % 7 == 0, head)
@@ -437,8 +437,7 @@ def _(spark, sf):
 
 @query("unique_slugs")
 def _(spark, sf):
-    # Titles cut to four characters, so that some repeat within a document.
-    s = _sections(spark, sf).withColumn("title", F.concat(F.lit(" "), F.substring("title", 1, 2), F.lit(" - A!")))
+    s = _sections(spark, sf).withColumn("title", F.concat(F.lit(" "), F.col("title"), F.lit(" - A!")))
     return sec.unique_slugs(s).select("doc_id", "section_no", "title", "slug")
 
 

@@ -140,6 +140,11 @@ def _cells(lo: Column, length: Column, cell: float) -> Column:
     return F.sequence(first, F.greatest(first, F.ceil((lo + length) / cell) - 1))
 
 
+def _sides_known() -> Column:
+    """A rectangle with a NULL side touches nothing."""
+    return F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+
+
 def _with_candidates(df: DataFrame, displays: DataFrame, ids: list[str], max_displays: int) -> DataFrame:
     """Add ``__cand``: the array of displays that may overlap the row's rectangle.
 
@@ -154,14 +159,16 @@ def _with_candidates(df: DataFrame, displays: DataFrame, ids: list[str], max_dis
         F.col("scale").cast("double").alias("scale"),
     )
     row = F.struct(*d.columns)
+    d = d.where(_sides_known())
     if fits(d, max_displays):
-        return df.withColumn("__cand", d.agg(F.array_sort(F.collect_list(row))).scalar())
+        every = d.agg(F.array_sort(F.collect_list(row))).scalar()
+        return df.withColumn("__cand", F.when(_sides_known(), every).otherwise(F.slice(every, 1, 0)))
     # Of equal rectangles the first one always wins, so copies of a display fold into one.
     d = d.groupBy("x", "y", "w", "h").agg(F.min(F.struct("seq", "id", "scale")).alias("__one")).select(
         "__one.seq", "__one.id", "x", "y", "w", "h", "__one.scale"
     )
     cell = DISPLAY_CELL
-    left = df.select(
+    left = df.where(_sides_known()).select(
         *ids, F.explode(_cells(F.col("x"), F.col("w"), cell)).alias("__cx"), F.col("y").alias("__y"), F.col("h").alias("__h")
     ).select(*ids, "__cx", F.explode(_cells(F.col("__y"), F.col("__h"), cell)).alias("__cy"))
     right = d.select(row.alias("__d"), F.explode(_cells(F.col("x"), F.col("w"), cell)).alias("__cx")).select(
@@ -181,7 +188,7 @@ def max_overlap_display(
 ) -> DataFrame:
     """Add ``display_id``: the display that shares the largest area with the rectangle.
 
-    Of equal areas, and when no display is touched, the first one.
+    Of equal areas, and when no display is touched (as by a rectangle with a NULL side), the first one.
     """
     first = displays.agg(F.min_by("display_id", "display_seq")).scalar()
     c = _with_candidates(rects, displays, ids, max_displays)

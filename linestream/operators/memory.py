@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,11 @@ from linestream.functions.languages import maximal_id, primary_subtag
 from linestream.scale import lookup_join, materialize
 from linestream.schema import FRAME, TM_KEY
 
-Translator = Callable[[pd.DataFrame], pd.Series]
+#: Gives a series of answers, or yields (position, answer) as they come.
+Translator = Callable[[pd.DataFrame], pd.Series | Iterator[tuple[int, str]]]
+
+#: Distinct texts that one task asks for.
+TASK_TEXTS = 1_000
 
 
 def with_keys(lines: DataFrame, target: str, strategy: str, source: str = "source") -> DataFrame:
@@ -23,14 +28,16 @@ def with_keys(lines: DataFrame, target: str, strategy: str, source: str = "sourc
             "source_max": maximal_id(src),
             "strategy": F.lit(strategy),
             "target": F.lit(target),
-            "same_language": primary_subtag(src) == primary_subtag(F.lit(target)),
+            # An unknown source is in no language, so such a line is asked for.
+            "same_language": F.coalesce(primary_subtag(src) == primary_subtag(F.lit(target)), F.lit(False)),
         }
     )
 
 
 def _memory(tm: DataFrame, target: str, strategy: str) -> DataFrame:
-    """The part of the memory that can match, keyed ``(source_max, text)``."""
-    return tm.where((F.col("target") == target) & (F.col("strategy") == strategy)).select(
+    """The part of the memory that can match, keyed ``(source_max, text)``; a row without a translation knows nothing."""
+    useful = (F.col("target") == target) & (F.col("strategy") == strategy) & F.col("translated").isNotNull()
+    return tm.where(useful).select(
         F.col("source").alias("source_max"), "text", F.col("translated").alias("cached")
     )
 
@@ -137,18 +144,20 @@ def translate_batches(
     """Ask ``translator`` once per distinct (maximal source, text).
 
     Gives ``source_max, text, answer, error``.  ``translator`` takes a data frame
-    ``(source, target, strategy, text)`` of one source language and gives a series of answers.
-    If it raises, the rows of that call get ``error`` and no answer; other groups go on.
+    ``(source, target, strategy, text)`` of one source language and gives a series of answers, or
+    yields ``(position, answer)`` one after another.  If it raises, the rows of that call that have no
+    answer yet get ``error``; other groups go on.
 
     The distinct keys are spread by (source, text), so one language fills many tasks, and sorted
     by source within a task, so that each source is one run of calls.  The answers are written
     once: nothing downstream, and no lost executor after it, asks the translator again.
     """
-    asked = pending.select("source_max", "text")
-    if partitions:
-        asked = asked.dropDuplicates().repartition(partitions, "source_max", "text")
-    else:
-        asked = asked.dropDuplicates()
+    asked = pending.select("source_max", "text").dropDuplicates()
+    if partitions is None:
+        # By their number, not by bytes: a call takes long, and small texts would all fall to one task.
+        asked = materialize(asked)
+        partitions = max(1, math.ceil(asked.count() / TASK_TEXTS))
+    asked = asked.repartition(partitions, "source_max", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,9 +166,14 @@ def translate_batches(
                 out = part.assign(answer=None, error=None)
                 try:
                     req = part.rename(columns={"source_max": "source"}).assign(target=target, strategy=strategy)
-                    out["answer"] = pd.Series(translator(req)).reset_index(drop=True)
+                    said = translator(req)
+                    if isinstance(said, Iterator):
+                        for at, answer in said:
+                            out.at[at, "answer"] = answer
+                    else:
+                        out["answer"] = pd.Series(said).reset_index(drop=True)
                 except Exception as e:  # one group's failure is data, not the job's failure
-                    out["error"] = f"{type(e).__name__}: {e}"
+                    out.loc[out["answer"].isna(), "error"] = f"{type(e).__name__}: {e}"
                 yield out[["source_max", "text", "answer", "error"]]
 
     res = asked.sortWithinPartitions("source_max").mapInPandas(

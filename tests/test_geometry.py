@@ -57,6 +57,24 @@ def test_first_intersecting(displays, rects, max_displays):
     assert (main["display_id"], main["scale"]) == (None, 3.0)
 
 
+def test_both_ways_agree_on_null_zero_and_negative_sides(displays, spark):
+    df = displays[0].unionByName(
+        spark.createDataFrame([(90, 90, None, 0.0, 9e3, 9e3, 1.0), (91, 91, 0.0, 0.0, 0.0, 9.0, 1.0)], displays[0].schema)
+    )
+    sides = [None, 0.0, -20.0, 700.0]
+    boxes = rects_of(spark, [(i * 4 + k, 10.0, 400.0, w, h) for i, w in enumerate(sides) for k, h in enumerate(sides)])
+    boxes = boxes.unionByName(rects_of(spark, [(100, None, 10.0, 5.0, 5.0), (101, 10.0, None, 5.0, 5.0)]))
+    ways = []
+    for most in (256, 0):
+        best = geo.max_overlap_display(boxes, df, ["rect_id"], most)
+        first = geo.first_intersecting_display(boxes, df, ["rect_id"], max_displays=most)
+        ways.append([{r["rect_id"]: r["display_id"] for r in d.collect()} for d in (best, first)])
+    assert ways[0] == ways[1]
+    best, first = ways[0]
+    assert best[100] == best[101] == 0 and first[100] is first[101] is None
+    assert first[15] is not None and all(v is None for k, v in first.items() if k != 15)
+
+
 @pytest.mark.parametrize("small,hot", [(True, None), (False, 10)])
 @pytest.mark.parametrize("cell", [16, 64, 4096])
 def test_topmost_window_equals_brute_force(spark, small, hot, cell):

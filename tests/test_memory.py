@@ -110,3 +110,35 @@ def test_one_hot_language_is_asked_in_many_tasks(spark):
     out = mem.translate_batches(pending, lambda r: r["text"], "en", "lowLatency", partitions=8, checkpoint=False)
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_width_follows_the_number_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(mem, "TASK_TEXTS", 100)
+    pending = spark.range(1000).select(F.lit("fr-Latn-FR").alias("source_max"), F.col("id").cast("string").alias("text"))
+    out = mem.translate_batches(pending, lambda r: r["text"], "en", "lowLatency", checkpoint=False)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1000
+
+
+def test_answers_ahead_of_a_failure_stay(spark):
+    def translator(req):
+        for i, text in enumerate(req["text"]):
+            if text == "c":
+                raise RuntimeError("lost")
+            yield i, text.upper()
+
+    pending = spark.createDataFrame([("fr-Latn-FR", t) for t in "abcd"], "source_max string, text string")
+    pending = pending.coalesce(1)
+    out = {r["text"]: (r["answer"], r["error"]) for r in mem.translate_batches(pending, translator, "en", "lowLatency", 1).collect()}
+    assert out["c"] == (None, "RuntimeError: lost")
+    assert all(v in ((t.upper(), None), (None, "RuntimeError: lost")) for t, v in out.items())
+
+
+def test_unknown_source_is_asked_and_empty_memory_row_knows_nothing(spark):
+    lines = spark.createDataFrame([("s", 1, 0, "a", "hola", None), ("s", 1, 1, "b", "hola", "es")], LINES)
+    tm = spark.createDataFrame(
+        [("es-Latn-ES", "lowLatency", "en", "hola", None)], "source string, strategy string, target string, text string, translated string"
+    )
+    assert {r["line_id"] for r in mem.pending_lines(lines, tm, "en", "lowLatency").collect()} == {"a", "b"}
+    found = mem.tm_lookup(lines, tm, "en", "lowLatency").collect()
+    assert {(r["same_language"], r["cache_hit"], r["translated"]) for r in found} == {(False, False, None)}
