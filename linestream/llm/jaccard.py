@@ -18,7 +18,7 @@ WORDS, PERCENT = 3, 90
 #: Counters of the global order (a power of two), and rows of one side of a tree in one task.
 COUNTERS, BLOCK = 1 << 20, 1_024
 #: Tokens just ahead of the shared one that a row brings along, to tell a pair that met at one of them before.
-HEAD = 4
+HEAD = 1
 #: Counters of text hashes that spare texts without a candidate pair their way over the network.
 MASK = 1 << 20
 _PART = 4_096
@@ -359,7 +359,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     reps = sets.join(own, "uid").select(F.col("uid").alias("c"), "th", "n", "prefix")
     reps = written(reps, "representatives")
     entries = reps.select("c", F.posexplode("prefix").alias("pos", "token"))
-    stats = entries.groupBy("token").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").drop("last")
+    # A token's lead is the class that shows it first: the one with the fewest rare n-grams of its own, in the middle of a
+    # group of near copies.  Place and class in one number; places from 255 on count as one, and only the choice depends on it.
+    early = F.shiftleft(F.least(F.col("pos"), F.lit(255)).cast("long"), 55).bitwiseOR(F.col("c"))
+    stats = entries.groupBy("token").agg(F.min(early).alias("lead"), F.max(early).alias("last")).where("lead < last")
+    stats = stats.select("token", F.col("lead").bitwiseAND((1 << 55) - 1).alias("lead"))
     shared = written(entries.join(stats, "token").select("token", "pos", "c", "lead"), "shared")
     # First each class against the first class it shares most tokens with: groups of near copies come together by stars.
     ties = shared.where("c <> lead").groupBy("c", "lead").agg(F.count("*").alias("k"))
