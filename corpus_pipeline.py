@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id stays."""
-    return keep_first(docs)
+    """Of each group of near copies (4/5 of their 5-word n-grams shared) the one with the smallest id stays."""
+    return keep_first(docs, 80, 5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

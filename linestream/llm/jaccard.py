@@ -85,7 +85,7 @@ def counted(df: DataFrame, places, counters: int) -> np.ndarray:
     return total.ravel()
 
 
-def global_order(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+def global_order(docs: DataFrame, size: int, counters: int = COUNTERS) -> np.ndarray:
     """Rank of each hash counter by the number of documents' n-grams that fall into it, over all documents.
 
     The order needs to be the same everywhere, not exact: it only decides how selective prefixes are.
@@ -94,7 +94,7 @@ def global_order(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     def places(b: pa.RecordBatch) -> np.ndarray:
         with _quiet():
-            hashes, _ = ngram_hashes(b.column("text"))
+            hashes, _ = ngram_hashes(b.column("text"), size)
         return (hashes >> shift).astype(np.int64)
 
     total = counted(docs.select("text"), places, counters)
@@ -119,14 +119,14 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def _sets(docs: DataFrame, rank: np.ndarray, percent: int, row: str | None) -> DataFrame:
+def _sets(docs: DataFrame, rank: np.ndarray, percent: int, row: str | None, size: int) -> DataFrame:
     """uid, row, doc_id, th (hash of the text), n, s1, s2 (signature of the set), prefix of each row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             with _quiet():
-                hashes, first = ngram_hashes(b.column("text"))
+                hashes, first = ngram_hashes(b.column("text"), size)
                 tokens = ordered_tokens(hashes, rank)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes + np.uint64(k)))]) for k in (1, 2)]
                 s1, s2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
@@ -325,7 +325,7 @@ def _texts(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
     return written(once.join(used, "th").select("c", "text"), "texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             for i in range(0, len(whole), 256):
                 b = whole.slice(i, 256)
                 with _quiet():
-                    (ha, fa), (hb, fb) = (ngram_hashes(b.column(c)) for c in ("ta", "tb"))
+                    (ha, fa), (hb, fb) = (ngram_hashes(b.column(c), size) for c in ("ta", "tb"))
                 keep = []
                 for r in range(len(b)):
                     x, y = ha[fa[r] : fa[r + 1]], hb[fb[r] : fb[r + 1]]
@@ -347,10 +347,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = None, size: int = WORDS) -> DataFrame:
     """doc_id, n, component per row of ``docs`` (doc_id, text), and its number ``row`` if asked for; component null without words."""
-    rank = global_order(docs)
-    sets = written(_sets(docs, rank, percent, row), "sets")
+    rank = global_order(docs, size)
+    sets = written(_sets(docs, rank, percent, row, size), "sets")
     # Rows with one set are one class; every class is joined once, by its first row.
     classes = written(
         sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("c"), F.count("*").alias("rows")), "classes"
@@ -373,7 +373,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     stars = stars.select(F.col("c").alias("a"), (-F.col("m.l")).alias("b"))
     stars = written(stars, "star_pairs")
     texts = _texts(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("c")))
-    linked = written(_verified(stars, texts, percent), "stars")
+    linked = written(_verified(stars, texts, percent, size), "stars")
     comp = written(components(linked), "components")
     # Then every pair of different components that some prefix tree cannot rule out.
     half = 2 * percent  # a set meets those not smaller by fewer tokens: see tree_length
@@ -402,7 +402,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     rows = rows.select("token", "x", "y", "side", "c", "n", F.col("pos").cast("long").alias("pos"), "comp", tail.alias("tail"), head)
     pairs = written(_candidates(rows, percent), "candidates")
     texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("c")))
-    more = written(_verified(pairs, texts, percent), "links")
+    more = written(_verified(pairs, texts, percent, size), "links")
     final = components(linked.union(more))
     named = classes.join(final, classes["c"] == final["node"], "left").select(
         "s1", "s2", F.col("n").alias("size"), F.coalesce("component", "c").alias("component")
@@ -430,14 +430,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (null ids last), of equal ids the first row read.
 
+    Texts link by ``size``-word n-grams, as in ``jaccard_components``.
     Rows without words are linked with nothing and all stay.  The columns of ``docs`` are kept as they are.
     """
     uid = free_name(docs, "__uid")
     base = written(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
-    classes = jaccard_classes(base.select("doc_id", "text", F.col(uid).alias("row")), percent, "row")
+    classes = jaccard_classes(base.select("doc_id", "text", F.col(uid).alias("row")), percent, "row", size)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("k"))
     stay = classes.where("component is not null").groupBy("component").agg(first.alias("k")).select(F.col("k.row").alias(uid))
     empty = classes.where("component is null").select(F.col("row").alias(uid))
