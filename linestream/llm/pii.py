@@ -28,7 +28,15 @@ WIDE = {
 }
 #: Precision over the labelled candidates that a score must have to be redacted; candidates a score must rest on.
 PRECISION, LEAST_SEEN = 0.98, 20
-CONTEXT = "(?i)(?:mail|contact|write|ip|host|server|address|card|visa|pay|account|tel|phone|call|mobile|fax)[^A-Za-z0-9]{0,3}$"
+#: Words just before a candidate that tell its kind.
+CONTEXT = {
+    "email": "(?i)(?:mail|contact|write)[^A-Za-z0-9]{0,3}$",
+    "ip": "(?i)(?:ip|host|server|address)[^A-Za-z0-9]{0,3}$",
+    "card": "(?i)(?:card|visa|pay|account)[^A-Za-z0-9]{0,3}$",
+    "phone": "(?i)(?:tel|phone|call|mobile|fax|contact)[^A-Za-z0-9]{0,3}$",
+}
+#: Kinds whose values say little by themselves: without a telling word, and without a rule's match, they are none.
+BARE = ("card", "phone")
 
 
 def _digits(v: Column) -> Column:
@@ -62,28 +70,39 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-FEATURES = ["kind", "digits", "groups", "marks", "letters", "plus", "before", "context"]
+def plausible(kind: str, v: Column) -> Column:
+    """Whether a candidate, brought to the plain form of its kind, passes the rule's check of the value."""
+    d = _digits(v)
+    four = "^[0-9]++(?:\\.[0-9]++){3}$"
+    if kind == "email":
+        plain = F.regexp_replace(v, "\\x20?(?:@|[\\[(](?i:at)[\\])])\\x20?", "@")
+        return plain.rlike("^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}$")
+    if kind == "ip":
+        group = "[0-9A-Fa-f]{1,4}"
+        short = f"(?!.*::.*::){group}(?::{group})*::(?:{group}(?::{group})*)?"
+        return v.rlike(f"^{IP_PART}(?:\\.{IP_PART}){{3}}$") | v.rlike(f"^(?:{group}(?::{group}){{7}}|{short})$")
+    if kind == "card":
+        return F.when(F.length(d).between(*CARD_DIGITS), luhn(d)).otherwise(False)
+    return F.length(d).between(*PHONE_DIGITS) & ~v.rlike(four)
+
+
+#: Nothing that a rule's own form gives away: no sign for "@", no leading "+", no separators.
+FEATURES = ["kind", "plausible", "before", "context"]
 
 
 def _features(kind: int, x: Column) -> list[Column]:
-    """Few-valued traits of a candidate: its form, the character before it, and telling words there."""
-    v = x["v"]
-    count = lambda p: F.length(F.regexp_replace(v, p, ""))
+    """Few-valued traits of a candidate: its value, the character before it, and telling words there."""
     beside = lambda c: F.when(c == "", 0).when(c.rlike("\\s"), 1).when(c.rlike("[A-Za-z0-9]"), 2).otherwise(3)
-    return [
-        F.lit(kind),
-        F.least(count("[^0-9]"), F.lit(20)),
-        F.least(F.size(F.split(v, "[^A-Za-z0-9]+", -1)), F.lit(7)),
-        F.least(F.size(F.array_distinct(F.split(F.regexp_replace(v, "[A-Za-z0-9]", ""), ""))), F.lit(4)),
-        F.least(count("[^A-Za-z]"), F.lit(2)),
-        F.when(F.startswith(v, F.lit("+")), 1).otherwise(0),
-        beside(F.right(x["c"], F.lit(1))),
-        x["c"].rlike(CONTEXT).cast("int"),
-    ]
+    name = KINDS[kind]
+    return [F.lit(kind), plausible(name, x["v"]), beside(F.right(x["c"], F.lit(1))), x["c"].rlike(CONTEXT[name])]
 
 
 def candidates(text: Column, base: list[Column]) -> Column:
-    """All candidates with their features and whether a rule's span overlaps them: (s, e, kind, f, y)."""
+    """All candidates with their features, whether a rule's span overlaps them, and their label: (s, e, kind, f, y, label).
+
+    The label is 1 where the rule of the kind matched; 0 where no rule did and the value fails the check of its kind, or
+    is a bare number without a telling word.  Other candidates have none: that no rule matched says nothing against them.
+    """
 
     def proposed(kind: int) -> Column:
         def shape(x: Column) -> Column:
@@ -93,9 +112,17 @@ def candidates(text: Column, base: list[Column]) -> Column:
                 F.lit(kind).alias("kind"),
                 F.array(*[f.cast("int") for f in _features(kind, x)]).alias("f"),
                 overlaps(x, base).alias("y"),
+                overlaps(x, [base[kind]]).alias("own"),
             )
 
-        return F.transform(find(text, WIDE[KINDS[kind]], context=True), shape)
+        def labelled(c: Column) -> Column:
+            none = c["f"][1] == 0
+            if KINDS[kind] in BARE:
+                none = none | (c["f"][3] == 0)
+            label = F.when(c["own"], 1).when(~c["y"] & none, 0)
+            return F.struct(*[c[n].alias(n) for n in ("s", "e", "kind", "f", "y")], label.alias("label"))
+
+        return F.transform(F.transform(find(text, WIDE[KINDS[kind]], context=True), shape), labelled)
 
     return F.concat(*[proposed(i) for i in range(len(KINDS))])
 
@@ -103,11 +130,11 @@ def candidates(text: Column, base: list[Column]) -> Column:
 def train(found: DataFrame):
     """Trees and, for each kind, the least margin at which at least ``PRECISION`` of the candidates are labelled.
 
-    Labels: whether a rule's span overlaps the candidate.  All candidates count: they are summed by their features, of
-    which there are few combinations however large the data is, and the trees are fitted on these weighted rows.
+    Labels are those of ``candidates``.  All labelled ones count: they are summed by their features, of which there are
+    few combinations however large the data is, and the trees are fitted on these weighted rows.
     """
-    seen = found.select(F.explode("cand").alias("c")).groupBy("c.f").agg(
-        F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("n")
+    seen = found.select(F.explode("cand").alias("c")).where("c.label is not null").groupBy("c.f").agg(
+        F.sum(F.col("c.label").cast("long")).alias("yes"), F.count("*").alias("n")
     )
     rows = sorted((list(r["f"]), r["yes"], r["n"]) for r in seen.collect())
     if not rows:
