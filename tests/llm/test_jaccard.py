@@ -12,13 +12,13 @@ from linestream.llm.components import components
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def grams(text):
+def grams(text, size=3):
     w = re.findall(WORD, (text or "").translate(FOLD))
-    return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
-def brute(rows, percent=90):
-    sets = [grams(t) for _, t in rows]
+def brute(rows, percent=90, size=3):
+    sets = [grams(t, size) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):

@@ -27,7 +27,7 @@ def test_stages(spark):
     assert Counter(good) == Counter(r for r in source if r[0] in keep)
     from test_jaccard import brute
 
-    groups = brute([(r[0], r[1]) for r in good])
+    groups = brute([(r[0], r[1]) for r in good], 80, 5)
     assert {r[0] for r in single} == {c for _, _, c in groups} and not Counter(single) - Counter(good)
     texts = {r[0]: r[1] for r in single}
     assert len(clean) == len(single)
