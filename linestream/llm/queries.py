@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linestream.llm.alignment import alignment_digest
 from linestream.llm.common import table
 from linestream.llm.curves import nearest
 from linestream.llm.jaccard import jaccard_components
@@ -120,3 +121,8 @@ def _(spark, sf):
 @query("op6_elias_fano_scores")
 def _(spark, sf):
     return score_documents(table(spark, sf, "documents"))
+
+
+@query("op13_token_alignment")
+def _(spark, sf):
+    return alignment_digest(table(spark, sf, "documents"))
