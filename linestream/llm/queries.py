@@ -18,6 +18,7 @@ from linestream.llm.scoring import score_documents
 from linestream.llm.secrets import scan_secrets
 from linestream.llm.topk import top_products
 from linestream.llm.urls import filter_sql, filter_urls
+from linestream.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +124,11 @@ def _(spark, sf):
     return score_documents(table(spark, sf, "documents"))
 
 
+@query("op11_qdwh_whitening")
+def _(spark, sf):
+    return whiten(table(spark, sf, "embeddings"))
+
+
 @query("op13_token_alignment")
 def _(spark, sf):
     return alignment_digest(table(spark, sf, "documents"))
