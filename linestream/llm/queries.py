@@ -10,6 +10,7 @@ from linestream.llm.alignment import alignment_digest
 from linestream.llm.common import table
 from linestream.llm.curves import nearest
 from linestream.llm.jaccard import jaccard_components
+from linestream.llm.licences import licence_digest
 from linestream.llm.mixing import mix_documents
 from linestream.llm.packing import pack_documents
 from linestream.llm.pii import scan_personal_data
@@ -129,6 +130,11 @@ def _(spark, sf):
     return whiten(table(spark, sf, "embeddings"))
 
 
+@query("op12_licence_scan")
+def _(spark, sf):
+    return licence_digest(table(spark, sf, "documents"))
+
+
 @query("op13_token_alignment")
 def _(spark, sf):
     return alignment_digest(table(spark, sf, "documents"))
