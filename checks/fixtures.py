@@ -199,6 +199,45 @@ def drags(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def live_control(spark: SparkSession, sf: str) -> DataFrame:
+    """What a user does around some frames: (session_id, ts, no, kind).
+
+    Starts each session, restarts it at frame 26, pauses and goes on, dismisses and comes back a frame later, and
+    starts again at once or two frames after a permission failure.
+    """
+    d, f = F.col("doc_id"), F.col("frame_seq")
+    denied = (d % 101 == 0) & (d % 17 != 0)
+    acts = [  # condition, milliseconds from the frame, kind
+        (f == 1, -400, "place"),
+        (f == 26, -100, "set_live_on"),
+        (d % 23 == 0, 300, "set_live_off"),
+        (d % 23 == 0, 500, "set_live_on"),
+        (d % 29 == 1, 200, "dismiss"),
+        (d % 29 == 1, 900, "toggle_overlay"),
+        (denied & (d % 2 == 0), 1700, "toggle_live"),
+        (denied & (d % 2 == 1), 100, "place"),
+        (d % 31 == 2, 250, "toggle_live"),
+        (d % 31 == 2, 700, "toggle_live"),
+    ]
+    each = [
+        F.when(when, F.struct(F.lit(i).alias("i"), F.lit(ms).alias("ms"), F.lit(kind).alias("kind")))
+        for i, (when, ms, kind) in enumerate(acts)
+    ]
+    found = frames(spark, sf).select("session_id", "ts", d, F.explode(F.array_compact(F.array(*each))).alias("a"))
+    return found.select(
+        "session_id",
+        F.expr("ts + a.ms * interval '0.001' second").alias("ts"),
+        (d * 10 + F.col("a.i")).alias("no"),
+        F.col("a.kind").alias("kind"),
+    )
+
+
+def live_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers by line for the live overlay: the responses whose ids exist, each naming its frame in the answer."""
+    said = F.concat(F.lit("mt:"), "session_id", F.lit(":"), "frame_seq", F.lit(":"), "source_text")
+    return responses(spark, sf).where(F.col("line_id") != "bad").select(*LINE, said.alias("answer"), "ts", "arrival")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
 

@@ -175,38 +175,73 @@ CTE: dict[str, tuple[list[str], str]] = {
         SELECT r.* FROM responses r JOIN good g ON g.session_id = r.session_id AND g.frame_seq = r.frame_seq
         WHERE r.ts >= g.ts AND (g.next_ts IS NULL OR r.ts < g.next_ts)""",
     ),
-    # What each line knows in its own frame; texts asked about never are in the memory.
-    "valued": (
-        ["identified", "looked", "fresh"],
+    # What the user does around some frames.
+    "live_control": (
+        ["frames"],
         """
-        SELECT i.*, l.cache_hit, l.translated AS known, f.text AS answer, f.ts AS answer_ts
-        FROM identified i
-        JOIN looked l ON l.line_id = i.line_id
-        LEFT JOIN fresh f ON f.line_id = i.line_id""",
-    ),
-    "replayed": (
-        ["valued"],
+        SELECT f.session_id, f.ts + to_milliseconds(a.ms) AS ts, f.doc_id * 10 + a.i AS no, a.kind
+        FROM frames f JOIN (VALUES (0, -400, 'place'), (1, -100, 'set_live_on'), (2, 300, 'set_live_off'), (3, 500, 'set_live_on'),
+          (4, 200, 'dismiss'), (5, 900, 'toggle_overlay'), (6, 1700, 'toggle_live'), (7, 100, 'place'), (8, 250, 'toggle_live'),
+          (9, 700, 'toggle_live')) AS a(i, ms, kind)
+          ON CASE a.i WHEN 0 THEN f.frame_seq = 1 WHEN 1 THEN f.frame_seq = 26 WHEN 2 THEN f.doc_id % 23 = 0 WHEN 3 THEN f.doc_id % 23 = 0
+            WHEN 4 THEN f.doc_id % 29 = 1 WHEN 5 THEN f.doc_id % 29 = 1 WHEN 6 THEN f.status = 'permission' AND f.doc_id % 2 = 0
+            WHEN 7 THEN f.status = 'permission' AND f.doc_id % 2 = 1 ELSE f.doc_id % 31 = 2 END""",
+    ),
+    "live_moments": (
+        ["frames", "live_control"],
+        """
+        SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, rk, no) AS i FROM (
+          SELECT session_id, ts, 0 AS rk, no, kind, NULL::BIGINT AS frame_seq, NULL::VARCHAR AS status FROM live_control
+          UNION ALL SELECT session_id, ts, 1, frame_seq, 'capture', frame_seq, status FROM frames)""",
+    ),
+    # A step per event, by the rules of the live switch: is_cut marks events that take the lines off.
+    "live_fold": (
+        ["live_moments"],
+        """
+        SELECT session_id, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::BIGINT AS frame_seq, NULL::VARCHAR AS status,
+               false AS active, false AS live, false AS was_live, false AS is_cut, 0 AS epoch
+        FROM (SELECT DISTINCT session_id FROM live_moments)
+        UNION ALL
+        SELECT e.session_id, e.i, e.ts, e.frame_seq, e.status, e.a, e.l, e.live, e.c, e.epoch + e.c::INT FROM (
+          SELECT m.session_id, m.i, m.ts, m.frame_seq, m.status, f.live, f.epoch,
+            CASE m.kind WHEN 'place' THEN true WHEN 'dismiss' THEN false WHEN 'toggle_overlay' THEN NOT f.active ELSE f.active END AS a,
+            CASE m.kind WHEN 'place' THEN true WHEN 'dismiss' THEN false WHEN 'toggle_overlay' THEN NOT f.active
+              WHEN 'set_live_off' THEN false WHEN 'set_live_on' THEN f.active
+              WHEN 'toggle_live' THEN CASE WHEN f.active THEN NOT f.live ELSE f.live END
+              ELSE f.live AND m.status <> 'permission' END AS l,
+            CASE m.kind WHEN 'capture' THEN false WHEN 'set_live_on' THEN f.active WHEN 'toggle_live' THEN f.active ELSE true END AS c
+          FROM live_fold f JOIN live_moments m ON m.session_id = f.session_id AND m.i = f.i + 1) e""",
+    ),
+    "live_good": (
+        ["live_fold"],
+        """
+        SELECT session_id, frame_seq, ts, epoch, next_ts, row_number() OVER (PARTITION BY session_id ORDER BY i) AS seq
+        FROM (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY i) AS next_ts
+              FROM live_fold WHERE is_cut OR (status = 'ok' AND live))
+        WHERE status = 'ok'""",
+    ),
+    "live_identified": (
+        ["resolved", "live_good"],
         """
-        SELECT *, arg_max(v, seq) FILTER (WHERE v IS NOT NULL)
-            OVER (PARTITION BY ident ORDER BY seq ROWS UNBOUNDED PRECEDING) AS translated
-        FROM (SELECT *, coalesce(known, answer) AS v FROM valued)""",
+        SELECT *, concat_ws(':', session_id, epoch, first_seq, k, md5(text)) AS ident FROM (
+          SELECT *, min(seq) OVER (PARTITION BY session_id, epoch, text, k, run) AS first_seq FROM (
+            SELECT *, seq - row_number() OVER (PARTITION BY session_id, epoch, text, k ORDER BY seq) AS run FROM (
+              SELECT r.*, g.seq, g.epoch, g.ts, g.next_ts,
+                     row_number() OVER (PARTITION BY r.session_id, r.frame_seq, r.text ORDER BY r.line_no) AS k
+              FROM resolved r JOIN live_good g ON g.session_id = r.session_id AND g.frame_seq = r.frame_seq)))""",
     ),
-    # With the session's own cache: the latest answer to the same text ahead of the frame.
-    "remembered": (
-        ["valued"],
+    "live_valued": (
+        ["live_identified", "looked"],
         """
-        SELECT v.line_id, arg_max(a.answer, a.answer_ts) AS told
-        FROM valued v JOIN valued a
-          ON a.session_id = v.session_id AND a.source_max = v.source_max AND a.text = v.text AND a.answer_ts < v.ts
-        WHERE a.answer IS NOT NULL GROUP BY v.line_id""",
+        SELECT i.*, l.cache_hit, l.translated AS known FROM live_identified i JOIN looked l ON l.line_id = i.line_id""",
     ),
-    "replayed_cache": (
-        ["valued", "remembered"],
+    "live_fresh": (
+        ["responses", "live_good"],
         """
-        SELECT *, arg_max(v, seq) FILTER (WHERE v IS NOT NULL)
-            OVER (PARTITION BY ident ORDER BY seq ROWS UNBOUNDED PRECEDING) AS translated
-        FROM (SELECT x.*, coalesce(x.known, x.answer, m.told) AS v
-              FROM valued x LEFT JOIN remembered m ON m.line_id = x.line_id)""",
+        SELECT r.session_id, r.frame_seq, r.line_no, r.ts, r.arrival, r.line_id, g.ts AS shown_at,
+               concat('mt:', r.session_id, ':', r.frame_seq, ':', r.source_text) AS answer
+        FROM responses r JOIN live_good g ON g.session_id = r.session_id AND g.frame_seq = r.frame_seq
+        WHERE r.line_id <> 'bad' AND r.ts >= g.ts AND (g.next_ts IS NULL OR r.ts < g.next_ts)""",
     ),
     "control": (
         [],
@@ -295,25 +330,49 @@ CTE["sources"] = (
         LEFT JOIN scored_lines l ON l.session_id = c.session_id AND l.frame_seq = c.frame_seq AND l.line_no = c.line_no
         LEFT JOIN scored_frames f ON f.session_id = c.session_id AND f.frame_seq = c.frame_seq""",
 )
-CTE["auto_valued"] = (
-    ["sources", "maxi", "identified", "tm", "fresh"],
+def _live_cache(name: str, valued: str, keys: str) -> None:
+    """The replay with a cache by ``keys``: the first answer to a key settles which lines were asked for."""
+    same = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
+    CTE[f"{name}_offers"] = (
+        [valued, "live_fresh"],
+        f"""
+        SELECT f.*, v.source_max, v.text, v.epoch, v.k, v.first_seq, min(f.ts) OVER (PARTITION BY {", ".join("v." + k for k in keys.split(", "))}) AS first_said
+        FROM live_fresh f JOIN {valued} v ON v.line_id = f.line_id WHERE v.known IS NULL""",
+    )
+    CTE[f"{name}_told"] = ([f"{name}_offers"], f"SELECT * FROM {name}_offers WHERE shown_at <= first_said")
+    CTE[f"{name}_cache"] = (
+        [f"{name}_told", valued],
+        f"""
+        SELECT x.line_id, arg_max(y.answer, (y.ts, y.arrival, y.answer, y.session_id, y.frame_seq, y.line_no)) AS told
+        FROM {valued} x JOIN {name}_told y ON {same} AND y.ts < x.ts WHERE x.known IS NULL GROUP BY x.line_id""",
+    )
+    CTE[name] = (
+        [valued, f"{name}_told", f"{name}_cache"],
+        f"""
+        SELECT *, arg_max(v, seq) FILTER (WHERE v IS NOT NULL)
+            OVER (PARTITION BY ident ORDER BY seq ROWS UNBOUNDED PRECEDING) AS translated
+        FROM (SELECT x.*, coalesce(x.known, c.told, o.answer) AS v FROM {valued} x
+              LEFT JOIN {name}_cache c ON c.line_id = x.line_id
+              LEFT JOIN (SELECT line_id, arg_max(answer, (ts, arrival, answer)) AS answer FROM {name}_told GROUP BY line_id) o
+                ON o.line_id = x.line_id)""",
+    )
+
+
+CTE["live_auto_valued"] = (
+    ["sources", "maxi", "live_identified", "tm"],
     """
         SELECT i.* EXCLUDE (source, source_max, same_language), m.maximal AS source_max, s.source = 'en' AS same_language,
                s.source <> 'en' AND t.translated IS NOT NULL AS cache_hit,
-               coalesce(CASE WHEN s.source = 'en' THEN i.text ELSE t.translated END, f.text) AS v
-        FROM identified i
+               CASE WHEN s.source = 'en' THEN i.text ELSE t.translated END AS known
+        FROM live_identified i
         JOIN sources s ON s.session_id = i.session_id AND s.frame_seq = i.frame_seq AND s.line_no = i.line_no
         LEFT JOIN maxi m ON m.lang = s.source
-        LEFT JOIN tm t ON t.source = m.maximal AND t.text = i.text
-        LEFT JOIN fresh f ON f.line_id = i.line_id""",
-)
-CTE["auto_replayed"] = (
-    ["auto_valued"],
-    """
-        SELECT *, arg_max(v, seq) FILTER (WHERE v IS NOT NULL)
-            OVER (PARTITION BY ident ORDER BY seq ROWS UNBOUNDED PRECEDING) AS translated
-        FROM auto_valued""",
+        LEFT JOIN tm t ON t.source = m.maximal AND t.text = i.text""",
 )
+_live_cache("live_app", "live_valued", "source_max, text")
+_live_cache("live_session", "live_valued", "session_id, source_max, text")
+_live_cache("live_none", "live_valued", "session_id, epoch, text, k, first_seq")
+_live_cache("live_auto", "live_auto_valued", "source_max, text")
 
 
 def _worded(texts: str, ids: str) -> str:
@@ -354,7 +413,7 @@ def _sql(final: str, *needs: str) -> str:
         add(n)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + final
+    return ("WITH RECURSIVE " if "live_fold" in order else "WITH ") + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + final
 
 
 def _burst(flush: str) -> str:
@@ -691,13 +750,29 @@ ORACLE: dict[str, str] = {
         "doc_lines",
     ),
     "live_translate": _sql(
-        "SELECT session_id, frame_seq, line_no, seq, ident AS line_id, source_max, translated FROM replayed_cache",
-        "replayed_cache",
+        "SELECT session_id, frame_seq, line_no, seq, ident AS line_id, source_max, translated FROM live_session",
+        "live_session",
+    ),
+    "live_epochs": _sql(
+        """
+        SELECT session_id, frame_seq, status, epoch, status = 'permission' AS fatal,
+               CASE WHEN NOT was_live THEN 'ignored' WHEN status = 'ok' THEN 'pipeline' ELSE 'dead_letter' END AS route
+        FROM live_fold WHERE frame_seq IS NOT NULL""",
+        "live_fold",
+    ),
+    "drop_stale_responses_control": _sql(
+        """
+        SELECT r.line_id, r.session_id, r.frame_seq, r.text, r.arrival, r.ts
+        FROM responses r JOIN live_good g ON g.session_id = r.session_id AND g.frame_seq = r.frame_seq
+        WHERE r.ts >= g.ts AND (g.next_ts IS NULL OR r.ts < g.next_ts)""",
+        "responses",
+        "live_good",
     ),
-    "replay_live": _sql(_REPLAY.format(table="replayed"), "replayed"),
-    "replay_live_session_cache": _sql(_REPLAY.format(table="replayed_cache"), "replayed_cache"),
-    "replay_live_status": _sql(_STATUS.format(table="replayed"), "replayed"),
-    "replay_live_auto": _sql(_REPLAY.format(table="auto_replayed"), "auto_replayed"),
+    "replay_live": _sql(_REPLAY.format(table="live_app"), "live_app"),
+    "replay_live_session_cache": _sql(_REPLAY.format(table="live_session"), "live_session"),
+    "replay_live_no_cache": _sql(_REPLAY.format(table="live_none"), "live_none"),
+    "replay_live_status": _sql(_STATUS.format(table="live_app"), "live_app"),
+    "replay_live_auto": _sql(_REPLAY.format(table="live_auto"), "live_auto"),
     "translate_capture": _sql(
         """
         SELECT session_id, frame_seq, string_agg(t, chr(10) ORDER BY line_no) AS translation
@@ -735,7 +810,7 @@ _INTEGERS = {
         for name in (
             "lines_from_text", "clean_lines", "flip_boxes", "boxes_to_pixels", "line_font_size", "detect_language",
             "resolve_sources", "tm_lookup", "carry_forward", "lexicon_translate", "live_trigger", "live_translate",
-            "replay_live", "replay_live_session_cache", "replay_live_auto", "translate_capture_lines",
+            "replay_live", "replay_live_session_cache", "replay_live_no_cache", "replay_live_auto", "translate_capture_lines",
         )
     },
 }

@@ -298,6 +298,19 @@ def _(spark, sf):
     return out.select("line_id", *FRAME, "text", "arrival", "ts")
 
 
+@query("drop_stale_responses_control")
+def _(spark, sf):
+    frames, control = fx.frames(spark, sf), fx.live_control(spark, sf)
+    out = fr.drop_stale_responses(fx.responses(spark, sf), frames, control=control)
+    return out.select("line_id", *FRAME, "text", "arrival", "ts")
+
+
+@query("live_epochs")
+def _(spark, sf):
+    out = fr.live_epochs(fx.frames(spark, sf), fx.live_control(spark, sf))
+    return out.select(*FRAME, "status", "epoch", "route", "fatal")
+
+
 # Ordered scans
 
 
@@ -490,20 +503,10 @@ def _(spark, sf):
 # End to end
 
 
-def _answers(spark, sf):
-    """Answers by line for the replay: the responses of FIXTURES.md with ids that exist."""
-    return (
-        fx.responses(spark, sf)
-        .where(F.col("line_id") != "bad")
-        .select(*LINE, F.col("text").alias("answer"), "ts", "arrival")
-    )
-
-
 def _replay(spark, sf, **kw):
-    lines = fx.resolved(spark, sf)
-    return replay(
-        fx.frames(spark, sf), lines, fx.tm(spark, sf), _answers(spark, sf), target=TARGET, strategy=STRATEGY, **kw
-    )
+    frames, control = fx.frames(spark, sf), fx.live_control(spark, sf)
+    lines, answers = fx.resolved(spark, sf), fx.live_answers(spark, sf)
+    return replay(frames, lines, fx.tm(spark, sf), answers, target=TARGET, strategy=STRATEGY, control=control, **kw)
 
 
 REPLAY_COLUMNS = [*LINE, "seq", "line_id", "source_max", "same_language", "cache_hit", "translated"]
@@ -516,7 +519,12 @@ def _(spark, sf):
 
 @query("replay_live_session_cache")
 def _(spark, sf):
-    return _replay(spark, sf, configured=None, session_cache=True).select(*REPLAY_COLUMNS)
+    return _replay(spark, sf, configured=None, cache="session").select(*REPLAY_COLUMNS)
+
+
+@query("replay_live_no_cache")
+def _(spark, sf):
+    return _replay(spark, sf, configured=None, cache=None).select(*REPLAY_COLUMNS)
 
 
 @query("replay_live_status")

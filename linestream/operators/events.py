@@ -90,7 +90,12 @@ def _with_active(events: DataFrame, split: Split, kind: str) -> DataFrame:
 
 
 def session_state(
-    events: DataFrame, key: str, order: list[str], kind: str = "kind", hot_rows: int | None = None
+    events: DataFrame,
+    key: str,
+    order: list[str],
+    kind: str = "kind",
+    hot_rows: int | None = None,
+    split: Split | None = None,
 ) -> DataFrame:
     """Add ``active`` and ``live`` (0 / 1) after each control event.
 
@@ -98,7 +103,7 @@ def session_state(
     toggle_live: flips live while active.  set_live_on: live if active, else off.
     set_live_off: off.  permission_error: live off.
     """
-    split = Split.of(events, [key], order, hot_rows)
+    split = split or Split.of(events, [key], order, hot_rows)
     df = _with_active(events, split, kind)
     k, active = F.col(kind), F.col("active")
     sets = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linestream.operators.events import session_state
 from linestream.scale import Split, running, runs
 from linestream.schema import FRAME
 
@@ -21,23 +22,88 @@ def route_errors(frames: DataFrame) -> DataFrame:
     )
 
 
-def good_frames(frames: DataFrame, hot_rows: int | None = None) -> DataFrame:
+_MOMENT = ["ts", "__rank", "__no"]
+
+
+def _live_moments(frames: DataFrame, control: DataFrame, hot_rows: int | None) -> tuple[DataFrame, Split]:
+    """Control events and captures of each session in one order, with the state after each.
+
+    At one time a control event comes ahead of a capture.  ``__clears``: the event takes the lines off and cancels
+    what is in flight; ``epoch`` counts these.  ``__was_live``: live was on before it.
+    """
+    kind = (
+        F.when(F.col("status") == "ok", "good_frame").when(F.col("status") == "permission", "permission_error").otherwise("capture_failed")
+    )
+    own = [c for c in frames.columns if c != "epoch"]
+    shots = frames.select(
+        "session_id", "ts", F.lit(1).alias("__rank"), F.col("frame_seq").alias("__no"), kind.alias("__kind"), F.struct(*own).alias("__frame")
+    )
+    asked = control.select(
+        "session_id", "ts", F.lit(0).alias("__rank"), F.col("no").cast("long").alias("__no"), F.col("kind").alias("__kind")
+    )
+    both = shots.unionByName(asked, allowMissingColumns=True)
+    split = Split.of(both, ["session_id"], _MOMENT, hot_rows)
+    state = session_state(both, "session_id", _MOMENT, "__kind", split=split)
+    k = F.col("__kind")
+    clears = k.isin("place", "dismiss", "toggle_overlay", "set_live_off") | (
+        k.isin("toggle_live", "set_live_on") & (F.col("active") == 1)
+    )
+    out = running(
+        state.withColumn("__clears", F.coalesce(clears, F.lit(False))),
+        split,
+        sums={"epoch": F.col("__clears").cast("int")},
+        lags={"__was_live": F.col("live")},
+    )
+    return out.withColumn("__was_live", F.coalesce("__was_live", F.lit(0))), split
+
+
+def live_epochs(frames: DataFrame, control: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Captures with the ``epoch`` and ``route`` that the control events of their session give them.
+
+    ``control``: ``session_id, ts, no, kind``, the kinds of ``session_state``.  Each start or stop of live and
+    each dismiss that takes effect opens an epoch.  A permission failure stops live; so captures after it, like those
+    while live is paused or the overlay is off, are ``ignored`` until live starts again.  What was asked before the failure
+    is still awaited, as only the captures stop.
+    """
+    moments, _ = _live_moments(frames, control, hot_rows)
+    routed = route_errors(moments.where(F.col("__frame").isNotNull()).select("__frame.*", "epoch", "__was_live"))
+    return routed.withColumn("route", F.when(F.col("__was_live") == 1, F.col("route")).otherwise("ignored")).drop("__was_live")
+
+
+def good_frames(frames: DataFrame, hot_rows: int | None = None, control: DataFrame | None = None) -> DataFrame:
     """The good frames, numbered ``seq`` = 1, 2, ... in their session, with what comes next.
 
-    ``next_ts`` is the time of the session's next good frame; ``continues`` says that this one is
-    in the same epoch, so that its lines follow on from this frame's.  Frames without lines are
-    kept: they clear the lines and so break identity.
+    ``next_ts`` is the time up to which answers to the frame count: that of the session's next good frame;
+    ``continues`` says that this one is in the same epoch, so that its lines follow on from this frame's.  Frames
+    without lines are kept: they clear the lines and so break identity.
+
+    Without ``control`` the frames name their ``epoch`` themselves and all were captured while live.  With it (see
+    ``live_epochs``) epochs come from the control events, captures made while live is off do not count, and an event that
+    clears the lines ends the answers of the frame before it.
     """
-    ok = frames.where(F.col("status") == "ok")
-    split = Split.of(ok, ["session_id"], ["frame_seq"], hot_rows)
+    if control is None:
+        ok = frames.where(F.col("status") == "ok")
+        split = Split.of(ok, ["session_id"], ["frame_seq"], hot_rows)
+        num = running(
+            ok,
+            split,
+            sums={"seq": F.lit(1)},
+            leads={"next_ts": F.col("ts"), "__next_epoch": F.col("epoch")},
+        )
+        return num.withColumn("continues", F.coalesce(F.col("__next_epoch") == F.col("epoch"), F.lit(False))).drop(
+            "__next_epoch"
+        )
+    moments, split = _live_moments(frames, control, hot_rows)
+    shown = (F.col("__kind") == "good_frame") & (F.col("live") == 1)
+    cuts = moments.where(shown | F.col("__clears"))
     num = running(
-        ok,
+        cuts,
         split,
-        sums={"seq": F.lit(1)},
-        leads={"next_ts": F.col("ts"), "__next_epoch": F.col("epoch")},
+        sums={"seq": shown.cast("int")},
+        leads={"next_ts": F.col("ts"), "__next": F.col("__frame").isNotNull()},
     )
-    return num.withColumn("continues", F.coalesce(F.col("__next_epoch") == F.col("epoch"), F.lit(False))).drop(
-        "__next_epoch"
+    return num.where(F.col("__frame").isNotNull()).select(
+        "__frame.*", "epoch", "seq", "next_ts", F.coalesce("__next", F.lit(False)).alias("continues")
     )
 
 
@@ -129,12 +195,15 @@ def carry_forward(
     return seen.withColumn(out, F.when(F.col("__last.at") >= F.col("first_seq"), F.col("__last.v"))).drop("__last")
 
 
-def drop_stale_responses(responses: DataFrame, frames: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def drop_stale_responses(
+    responses: DataFrame, frames: DataFrame, hot_rows: int | None = None, control: DataFrame | None = None
+) -> DataFrame:
     """Answers that arrive while their frame is the session's latest good one.
 
-    An equi-join on the frame, then a test of the time; frames are unique on the key.
+    With ``control``, a pause, a restart or a dismiss ends that too (see ``good_frames``).  An equi-join on the frame, then a
+    test of the time; frames are unique on the key.
     """
-    return fresh_on_good(responses, good_frames(frames, hot_rows))
+    return fresh_on_good(responses, good_frames(frames, hot_rows, control))
 
 
 def fresh_on_good(responses: DataFrame, numbered: DataFrame) -> DataFrame:

@@ -39,47 +39,71 @@ def good(frames):
     return out
 
 
-def literal(frames, lines, tm=None, answers=None, cache=False):
-    """Bucket by bucket, as the live overlay does it; a line's final value in each frame."""
+def literal(frames, lines, tm=None, answers=None, cache=None, control=None):
+    """Event by event, as the live overlay does it; a line's identity and final value in each frame.
+
+    Without ``control`` the frames' own epochs clear the lines.
+    """
     by_frame = defaultdict(list)
     for line in sorted(lines):
         by_frame[line[:2]].append(line)
-    told = defaultdict(list)
-    for a in sorted(answers or [], key=lambda a: (a[4], a[5])):
-        told[a[:2]].append(a)
-    out, serial = {}, 0
-    for session, fs in good(frames).items():
-        shown, epoch, memory = [], None, {}
-        for i, f in enumerate(fs):
+    events = [(f[3], 1, f[0], f[1], f) for f in frames]
+    events += [(c[1], 0, c[0], c[2], c) for c in control or []]
+    events += [(a[4], 2, a[5], a[3], *a[:3], a) for a in answers or []]
+    state = defaultdict(lambda: {"active": control is None, "live": control is None, "shown": [], "frame": None, "epoch": None})
+    out, serial, memory = {}, 0, {}
+    for e in sorted(events, key=lambda e: (e[0], e[1], *map(repr, e[2:3]), e[2:-1])):
+        rank, row = e[1], e[-1]
+        s = state[row[0]]
+        if rank == 0:
+            kind = row[3]
+            if kind == "toggle_overlay":
+                kind = "dismiss" if s["active"] else "place"
+            if kind == "toggle_live":
+                if not s["active"]:
+                    continue
+                kind = "set_live_off" if s["live"] else "set_live_on"
+            if kind == "set_live_on" and not s["active"]:
+                s["live"] = False
+                continue
+            if kind in ("place", "dismiss"):
+                s["active"] = kind == "place"
+            s["live"] = kind in ("place", "set_live_on")
+            s["shown"], s["frame"] = [], None  # what is in flight is cancelled
+        elif rank == 1:
+            if control is not None and not s["live"]:
+                continue
+            if row[4] != "ok":
+                if row[4] == "permission" and control is not None:
+                    s["live"] = False
+                continue
             buckets = defaultdict(list)
-            if f[2] == epoch:
-                for old in shown:
+            if control is not None or row[2] == s["epoch"]:
+                for old in s["shown"]:
                     buckets[old["text"]].append(old)
-            epoch, shown = f[2], []
-            for line in by_frame[f[:2]]:
+            s["epoch"], s["frame"], s["shown"] = row[2], row[1], []
+            for line in by_frame[row[:2]]:
                 text, source = line[3], line[4]
+                key = (source, text) if cache == "app" else (row[0], source, text)
                 known = text if source == "en" else (tm or {}).get((source, text))
-                cached = known if known is not None else memory.get((source, text)) if cache else None
+                if known is None and cache:
+                    known = memory.get(key)
                 if buckets[text]:
                     now = dict(buckets[text].pop(0))
                 else:
                     serial += 1
                     now = {"id": serial, "text": text, "value": None}
-                now |= {"no": line[2], "source": source, "known": known}
-                if cached is not None:
-                    now["value"] = cached
-                shown.append(now)
-            until = fs[i + 1][3] if i + 1 < len(fs) else None
-            for a in told[f[:2]]:
-                if a[4] < f[3] or (until is not None and a[4] >= until):
-                    continue
-                for now in shown:
-                    if now["no"] == a[2]:
-                        memory[(now["source"], now["text"])] = a[3]
-                        if now["known"] is None:
-                            now["value"] = a[3]
-            for now in shown:
-                out[(session, f[1], now["no"])] = (now["id"], now["value"])
+                if known is not None:
+                    now["value"] = known
+                now |= {"no": line[2], "key": key, "asked": now["value"] is None}
+                s["shown"].append(now)
+        elif s["frame"] == row[1]:
+            for now in s["shown"]:
+                if now["no"] == row[2] and now["asked"]:
+                    memory[now["key"]] = now["value"] = row[3]
+        if rank and s["frame"] == row[1]:
+            for now in s["shown"]:
+                out[(row[0], row[1], now["no"])] = (now["id"], now["value"])
     return out
 
 
@@ -102,33 +126,102 @@ def test_identity_equals_literal_replay(spark, seed, hot):
     assert len(per_frame) == len(set(per_frame))
 
 
-@pytest.mark.parametrize("seed,hot,cache", [(5, None, False), (6, 5, False), (7, None, True), (8, 5, True)])
-def test_replay_equals_literal_replay(spark, seed, hot, cache):
+MEMORY = [
+    ("fr-Latn-FR", "lowLatency", "en", "a", "A"), ("fr-Latn-FR", "lowLatency", "en-US", "b", "x"), ("fr", "lowLatency", "en", "c", "x"),
+    ("fr-Latn-FR", "highFidelity", "en", "d", "x"),
+]
+KINDS = ["place", "dismiss", "toggle_overlay", "toggle_live", "set_live_on", "set_live_off"]
+
+
+def users(rnd, sessions, n_frames):
+    """Control events around the frames; some at the very time of a frame or an answer."""
+    out = [(f"s{s}", rnd.choice([0, 700, 800]), -1, "place") for s in range(sessions)]
+    for i in range(sessions * n_frames // 5):
+        kind = rnd.choice(KINDS + ["place", "toggle_live", "set_live_on"])
+        out.append((f"s{rnd.randrange(sessions)}", rnd.randrange(1, n_frames) * 800 + rnd.choice([0, 0, 100, 399, 700]), i, kind))
+    return out
+
+
+@pytest.mark.parametrize("cache", ["app", "session", None])
+@pytest.mark.parametrize("seed,hot,controlled", [(5, None, False), (6, 5, True), (7, None, True), (8, 5, False), (9, None, True)])
+def test_replay_equals_literal_replay(spark, seed, hot, cache, controlled):
     rnd = random.Random(seed)
     frames, lines = make(seed)
+    # Sources of a text change from frame to frame, so that values are carried over into another key.
+    lines = [(*x[:4], rnd.choice(["fr", "fr", "de", "en"])) if x[3] in "bc" else x for x in lines]
     answers = [
-        (*line[:3], f"{line[3]}{i}", line[1] * 800 + rnd.randrange(-50, 1700), i)
+        (*line[:3], f"{line[3]}{i}", line[1] * 800 + rnd.choice([-50, 0, 100, 399, 500, 799, 800, 1600]), i)
         for i, line in enumerate(lines)
-        if line[4] != "en" and line[3] != "a" and rnd.random() < 0.5
+        if line[4] != "en" and rnd.random() < 0.5
     ]
-    tm = {("fr", "a"): "A"}
-    memory = spark.createDataFrame(
-        [("fr-Latn-FR", "lowLatency", "en", "a", "A"), ("fr-Latn-FR", "lowLatency", "en-US", "b", "x"), ("fr", "lowLatency", "en", "c", "x"),
-         ("fr-Latn-FR", "highFidelity", "en", "d", "x")],
-        "source string, strategy string, target string, text string, translated string",
-    )
+    control = users(rnd, 3, 40) if controlled else None
+    said = "session_id string, frame_seq long, line_no int, answer string, ts long, arrival int"
     got = replay_live(
         spark.createDataFrame(frames, FRAMES),
         spark.createDataFrame(lines, LINES),
-        memory,
-        spark.createDataFrame(answers, "session_id string, frame_seq long, line_no int, answer string, ts long, arrival int"),
+        spark.createDataFrame(MEMORY, "source string, strategy string, target string, text string, translated string"),
+        spark.createDataFrame(answers, said),
         configured=None,
-        session_cache=cache,
+        cache=cache,
         hot_rows=hot,
+        control=control and spark.createDataFrame(control, "session_id string, ts long, no int, kind string"),
     ).collect()
-    want = {k: v[1] for k, v in literal(frames, lines, tm, answers, cache).items()}
-    assert {(r["session_id"], r["frame_seq"], r["line_no"]): r["translated"] for r in got} == want
-    assert any(v is None for v in want.values()) and any(v and v[-1].isdigit() for v in want.values())
+    want = literal(frames, lines, {("fr", "a"): "A"}, answers, cache, control)
+    assert {(r["session_id"], r["frame_seq"], r["line_no"]): r["translated"] for r in got} == {k: v[1] for k, v in want.items()}
+    same_partition({(r["session_id"], r["frame_seq"], r["line_no"]): r["line_id"] for r in got}, {k: v[0] for k, v in want.items()})
+    assert any(v is None for _, v in want.values()) and any(v and v[-1].isdigit() for _, v in want.values())
+
+
+LIVE = "session_id string, ts long, no int, kind string"
+ANSWERS = "session_id string, frame_seq long, line_no int, answer string, ts long, arrival int"
+
+
+def shown(spark, frames, lines, answers, control, **kw):
+    memory = spark.createDataFrame([], "source string, strategy string, target string, text string, translated string")
+    out = replay_live(
+        spark.createDataFrame(frames, FRAMES), spark.createDataFrame(lines, LINES), memory, spark.createDataFrame(answers, ANSWERS),
+        configured=None, control=spark.createDataFrame(control, LIVE), **kw,
+    )
+    return {(r["session_id"], r["frame_seq"]): (r["line_id"], r["translated"]) for r in out.collect()}
+
+
+def test_pause_ends_identity_and_answers(spark):
+    frames = [("s", i, 0, i * 100, "ok") for i in (1, 2, 3)]
+    lines = [("s", i, 0, "t", "fr") for i in (1, 2, 3)]
+    control = [("s", 0, 0, "place"), ("s", 110, 1, "set_live_off"), ("s", 120, 2, "toggle_live"), ("s", 250, 3, "set_live_on")]
+    got = shown(spark, frames, lines, [("s", 1, 0, "late", 130, 1), ("s", 2, 0, "in time", 240, 2)], control)
+    assert len({i for i, _ in got.values()}) == 3
+    assert [v for _, v in sorted(got.items())] and [got["s", i][1] for i in (1, 2, 3)] == [None, "in time", "in time"]
+
+
+def test_dismiss_ends_identity_and_answers_and_hides_frames(spark):
+    frames = [("s", i, 0, i * 100, "ok") for i in (1, 2, 3)]
+    lines = [("s", i, 0, "t", "fr") for i in (1, 2, 3)]
+    control = [("s", 0, 0, "place"), ("s", 110, 1, "dismiss"), ("s", 250, 2, "toggle_overlay")]
+    got = shown(spark, frames, lines, [("s", 1, 0, "late", 130, 1), ("s", 2, 0, "never shown", 210, 2)], control)
+    assert got.keys() == {("s", 1), ("s", 3)} and {v for _, v in got.values()} == {None}
+
+
+def test_permission_failure_stops_live_but_not_what_is_in_flight(spark, rows):
+    frames = [("s", 1, 0, 100, "ok"), ("s", 2, 0, 200, "permission"), ("s", 3, 0, 300, "ok"), ("s", 4, 0, 400, "ok"), ("s", 5, 0, 500, "permission")]
+    lines = [("s", i, 0, "t", "fr") for i in (1, 3, 4)]
+    control = [("s", 0, 0, "place"), ("s", 350, 1, "toggle_live")]
+    got = shown(spark, frames, lines, [("s", 1, 0, "yes", 310, 1)], control, cache=None)
+    assert {k: v for k, (_, v) in got.items()} == {("s", 1): "yes", ("s", 4): None} and len(set(got.values())) == 2
+    out = fr.live_epochs(spark.createDataFrame(frames, FRAMES), spark.createDataFrame(control, LIVE))
+    assert rows(out, "frame_seq", "epoch", "route", "fatal") == [
+        (1, 1, "pipeline", False), (2, 1, "dead_letter", True), (3, 1, "ignored", False), (4, 2, "pipeline", False), (5, 2, "dead_letter", True),
+    ]
+
+
+def test_answers_serve_other_sessions_later_frames(spark):
+    frames = [("s", 1, 0, 100, "ok"), ("q", 1, 0, 150, "ok"), ("q", 2, 0, 160, "ok")]
+    lines = [("s", 1, 0, "t", "fr"), ("q", 1, 0, "t", "fr"), ("q", 2, 0, "t", "fr")]
+    control = [("s", 0, 0, "place"), ("q", 0, 0, "place")]
+    answers = [("s", 1, 0, "S", 150, 1), ("q", 2, 0, "not asked", 165, 2)]
+    values = lambda **kw: {k: v for k, (_, v) in shown(spark, frames, lines, answers, control, **kw).items()}
+    assert values() == {("s", 1): "S", ("q", 1): None, ("q", 2): "S"}
+    assert values(cache="session") == values(cache=None) == {("s", 1): "S", ("q", 1): None, ("q", 2): "not asked"}
 
 
 def test_diff_adds_up(spark):
