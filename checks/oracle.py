@@ -373,6 +373,7 @@ _live_cache("live_app", "live_valued", "source_max, text")
 _live_cache("live_session", "live_valued", "session_id, source_max, text")
 _live_cache("live_none", "live_valued", "session_id, epoch, text, k, first_seq")
 _live_cache("live_auto", "live_auto_valued", "source_max, text")
+_live_cache("live_auto_session", "live_auto_valued", "session_id, source_max, text")
 
 
 def _worded(texts: str, ids: str) -> str:
@@ -753,6 +754,13 @@ ORACLE: dict[str, str] = {
         "SELECT session_id, frame_seq, line_no, seq, ident AS line_id, source_max, translated FROM live_session",
         "live_session",
     ),
+    "live_translate_auto": _sql(
+        "SELECT session_id, frame_seq, line_no, seq, ident AS line_id, source_max, translated FROM live_auto_session",
+        "live_auto_session",
+    ),
+    "fresh_responses_stream": _sql(
+        "SELECT session_id, frame_seq, line_no, answer, ts, arrival AS no FROM live_fresh", "live_fresh"
+    ),
     "live_epochs": _sql(
         """
         SELECT session_id, frame_seq, status, epoch, status = 'permission' AS fatal,
@@ -810,6 +818,7 @@ _INTEGERS = {
         for name in (
             "lines_from_text", "clean_lines", "flip_boxes", "boxes_to_pixels", "line_font_size", "detect_language",
             "resolve_sources", "tm_lookup", "carry_forward", "lexicon_translate", "live_trigger", "live_translate",
+            "live_translate_auto", "fresh_responses_stream",
             "replay_live", "replay_live_session_cache", "replay_live_no_cache", "replay_live_auto", "translate_capture_lines",
         )
     },

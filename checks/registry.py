@@ -24,7 +24,7 @@ from linestream.schema import FRAME, LINE
 from linestream.sources.sinks import export_stamped
 from linestream.sources.tables import lines_from_text, read_lines
 from linestream.streaming import sinks
-from linestream.streaming.live import live_translate, shown_lines
+from linestream.streaming.live import fresh_responses_stream, live_events, live_translate, shown_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,35 +471,48 @@ def _(spark, sf):
     return spark.read.parquet(f"{work}/out").select("doc_id", "line_no", "text")
 
 
-@query("live_translate")
-def _(spark, sf):
-    """Frames and answers in two arrivals, the second by a query that goes on from the first one's state."""
-    work = shared_dir(spark, "live_translate")
-    good = fr.good_frames(fx.frames(spark, sf))
-    lines = fx.resolved(spark, sf)
-    per_frame = lines.groupBy(*FRAME).agg(F.collect_list(F.struct("line_no", "text", "source")).alias("lines"))
-    frames = good.join(per_frame, FRAME, "left").select(
-        "session_id", "epoch", "seq", "frame_seq", F.col("ts").cast("timestamp").alias("ts"), "lines"
-    )
-    asked = lines.select(*LINE, "text", "source")
-    fresh = fr.fresh_on_good(_answers(spark, sf), good).join(asked, LINE).join(good.select(*FRAME, "seq"), FRAME)
-    answers = fresh.select(
-        "session_id", "seq", "frame_seq", F.col("ts").cast("timestamp").alias("ts"),
-        F.struct("line_no", "text", "source", "answer", "arrival").alias("answer"),
-    )
-    events = frames.unionByName(answers, allowMissingColumns=True)
+def _arrivals(spark, sf, work):
+    """Raw captures, answers and control events in two arrivals; the second is read by a query that goes on from the first one's state."""
+    per_frame = fx.resolved(spark, sf).groupBy(*FRAME).agg(F.collect_list(F.struct("line_no", "text", "source")).alias("lines"))
+    frames = fx.frames(spark, sf).join(per_frame, FRAME, "left")
+    events = live_events(frames, fx.live_answers(spark, sf), fx.live_control(spark, sf))
     events.write.parquet(f"{work}/all")
     events = spark.read.parquet(f"{work}/all")
-    half = events.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    tm = fx.tm(spark, sf)
-    for part in (F.col("seq") <= half, F.col("seq") > half):
+    half = events.agg(F.percentile_approx(F.col("ts").cast("double"), 0.5)).first()[0]
+    for part in (F.col("ts").cast("double") <= half, F.col("ts").cast("double") > half):
         events.where(part).write.mode("append").parquet(f"{work}/in")
-        stream = read_lines(spark, f"{work}/in", streaming=True, schema=events.schema)
-        out = live_translate(stream, tm, TARGET, STRATEGY)
-        _until_done(out.writeStream.outputMode("update").foreachBatch(sinks.rows_sink(f"{work}/out")), work)
+        yield read_lines(spark, f"{work}/in", streaming=True, schema=events.schema)
+
+
+def _rows_of(writer, work: str) -> None:
+    _until_done(writer.outputMode("append").foreachBatch(sinks.rows_sink(f"{work}/out")), work)
+
+
+@query("live_translate")
+def _(spark, sf):
+    work, tm = shared_dir(spark, "live_translate"), fx.tm(spark, sf)
+    for stream in _arrivals(spark, sf, work):
+        _rows_of(live_translate(stream, tm, TARGET, STRATEGY).writeStream, work)
+    return shown_lines(spark.read.parquet(f"{work}/out"))
+
+
+@query("live_translate_auto")
+def _(spark, sf):
+    work, tm = shared_dir(spark, "live_translate_auto"), fx.tm(spark, sf)
+    profile = _profile(spark, sf)
+    for stream in _arrivals(spark, sf, work):
+        _rows_of(live_translate(stream, tm, TARGET, STRATEGY, "auto", profile).writeStream, work)
     return shown_lines(spark.read.parquet(f"{work}/out"))
 
 
+@query("fresh_responses_stream")
+def _(spark, sf):
+    work = shared_dir(spark, "fresh_responses")
+    for stream in _arrivals(spark, sf, work):
+        _rows_of(fresh_responses_stream(stream).writeStream, work)
+    return spark.read.parquet(f"{work}/out").select(*LINE, "answer", F.col("ts").cast("timestamp_ntz").alias("ts"), "no")
+
+
 # End to end
 
 

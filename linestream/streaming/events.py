@@ -33,37 +33,3 @@ def spans_stream(df: DataFrame, key: str, ts: str, gap: str, delay: str) -> Data
         .agg(F.count(F.lit(1)).alias("n_events"))
         .select(key, F.col("__w.start").alias("start"), F.col("__w.end").alias("end"), "n_events")
     )
-
-
-def fresh_responses_stream(responses: DataFrame, frames: DataFrame, delay: str, max_age: str) -> DataFrame:
-    """Answers that arrive while their frame is the session's latest good one.
-
-    Two interval joins: with the answer's own frame, then with any later frame up to the answer's
-    time; an answer without one passes when the watermark does.  ``max_age`` bounds the state: an
-    answer older than that against its frame is given up.
-    """
-    age = F.expr(f"interval {max_age}")
-    good = frames.where(F.col("status") == "ok")
-    own = good.select(
-        F.col("session_id").alias("__s"), F.col("frame_seq").alias("__f"), F.col("ts").alias("__from")
-    ).withWatermark("__from", delay)
-    later = good.select(
-        F.col("session_id").alias("__s2"), F.col("frame_seq").alias("__f2"), F.col("ts").alias("__at")
-    ).withWatermark("__at", delay)
-    r = responses.withWatermark("ts", delay)
-    known = r.join(
-        own,
-        (F.col("session_id") == F.col("__s"))
-        & (F.col("frame_seq") == F.col("__f"))
-        & (F.col("ts") >= F.col("__from"))
-        & (F.col("ts") <= F.col("__from") + age),
-    ).drop("__s", "__f", "__from")
-    overtaken = known.join(
-        later,
-        (F.col("session_id") == F.col("__s2"))
-        & (F.col("__f2") > F.col("frame_seq"))
-        & (F.col("__at") <= F.col("ts"))
-        & (F.col("__at") >= F.col("ts") - age),
-        "left",
-    )
-    return overtaken.where(F.col("__s2").isNull()).drop("__s2", "__f2", "__at")

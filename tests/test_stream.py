@@ -1,6 +1,7 @@
 """Stream results must equal batch results on the same rows."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,8 +11,9 @@ from linestream.operators import events as ev
 from linestream.operators import frames as fr
 from linestream.plans.replay import replay_live
 from linestream.streaming import sinks
-from linestream.streaming.events import debounce_stream, fresh_responses_stream, spans_stream
-from linestream.streaming.live import live_translate, shown_lines
+from linestream.operators.language import language_profile, resolve_sources
+from linestream.streaming.events import debounce_stream, spans_stream
+from linestream.streaming.live import EVENTS, fresh_responses_stream, live_events, live_translate, shown_lines, source_finder
 
 START = datetime(2024, 1, 1)
 
@@ -110,66 +112,116 @@ def test_sources_sink(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "o")), "frame_seq", "text", "source") == [(1, "le", "fr"), (2, "x", "fr")]
 
 
-def test_stale_answers(spark, tmp_path, rows):
-    rnd = random.Random(4)
-    at = lambda ms: START + timedelta(milliseconds=ms)
-    frames = [("s" + str(i % 2), i // 2, at(800 * (i // 2)), rnd.choice(["ok", "ok", "error"])) for i in range(40)]
-    answers = [("s" + str(i % 2), rnd.randrange(20), i) for i in range(200)]
-    answers = [(s, f, at(800 * f + rnd.randrange(-100, 2000)), i) for s, f, i in answers]
-    end = at(10**8)
-    fs = as_stream(spark, [frames[:20], frames[20:], [("end", 0, end, "ok")], [("end", 1, end + timedelta(days=1), "ok")]], "session_id string, frame_seq long, ts timestamp, status string", tmp_path / "f")
-    rs = as_stream(spark, [answers[:100], answers[100:], [("end", 7, end, 999)], [("end", 8, end + timedelta(days=1), 1000)]], "session_id string, frame_seq long, ts timestamp, id int", tmp_path / "r")
-    got = run(fresh_responses_stream(rs, fs, "10 seconds", "1 hour"), tmp_path)
-    batch = fr.drop_stale_responses(
-        spark.createDataFrame(answers, "session_id string, frame_seq long, ts timestamp, id int"),
-        spark.createDataFrame([(*f, 0) for f in frames], "session_id string, frame_seq long, ts timestamp, status string, epoch int"),
-    )
-    assert rows(got, "id") == rows(batch, "id") and 0 < batch.count() < 200
+FRAME_COLS = "session_id string, frame_seq long, ts timestamp, status string, lines array<struct<line_no:int,text:string,source:string>>"
+ANSWER_COLS = "session_id string, frame_seq long, line_no int, answer string, ts timestamp, arrival long"
+CONTROL_COLS = "session_id string, ts timestamp, no long, kind string"
+CUTS = [0, 5_000, 5_500, 12_000, 20_000, 99_999]
+
 
+def at(ms):
+    return START + timedelta(milliseconds=ms)
 
-def test_live_translate_equals_replay(spark, tmp_path):
-    rnd = random.Random(6)
-    at = lambda ms: START + timedelta(milliseconds=ms)
-    frames, lines, answers = [], [], []
+
+def live_rows(seed):
+    """Captures, answers and control events of two sessions; many at the same moments."""
+    rnd = random.Random(seed)
+    frames, answers = [], []
     for s in ("a", "b"):
-        epoch = 0
         for f in range(1, 31):
-            epoch += rnd.random() < 0.1
-            texts = [(n, rnd.choice([" p", "q", "r", "r ", "\u3000"]), rnd.choice(["fr", "fr", "en"])) for n in range(rnd.randrange(0, 5))]
-            frames.append((s, epoch, f, at(800 * f), texts))
-            lines += [(s, f, *t) for t in texts]
+            texts = [(n, rnd.choice([" p", "q", "r", "r ", "\u3000"]), rnd.choice(["fr", "fr", "en", "de"])) for n in range(rnd.randrange(0, 5))]
+            frames.append((s, f, at(800 * f), rnd.choice(["ok"] * 8 + ["error", "permission"]), texts))
             for n, text, src in texts:
-                if src == "fr" and text.strip() and rnd.random() < 0.4:
-                    answers.append((s, f, n, f"{text.strip()}{len(answers)}", at(800 * f + rnd.randrange(-50, 1500)), len(answers)))
-    memory = spark.createDataFrame([("fr-Latn-FR", "lowLatency", "en", "p", "P")], "source string, strategy string, target string, text string, translated string")
-    aschema = "session_id string, frame_seq long, line_no int, answer string, ts timestamp, arrival long"
-    schema = (
-        "session_id string, epoch int, seq long, frame_seq long, ts timestamp, lines array<struct<line_no:int,text:string,source:string>>,"
-        " answer struct<line_no:int,text:string,source:string,answer:string,arrival:long>"
+                if src != "en" and text.strip() and rnd.random() < 0.5:
+                    answers.append((s, f, n, f"{text.strip()}{len(answers)}", at(800 * f + rnd.choice([-50, 0, 100, 300, 700, 799, 800, 1200])), len(answers)))
+    kinds = ["place", "place", "dismiss", "toggle_overlay", "toggle_live", "toggle_live", "set_live_on", "set_live_off"]
+    control = [(s, at(0), -1, "place") for s in ("a", "b")]
+    control += [(rnd.choice("ab"), at(rnd.randrange(1, 30) * 800 + rnd.choice([0, 100, 400])), i, rnd.choice(kinds)) for i in range(16)]
+    return frames, answers, control
+
+
+def live_stream(spark, rows, path):
+    frames, answers, control = rows
+    table = live_events(spark.createDataFrame(frames, FRAME_COLS), spark.createDataFrame(answers, ANSWER_COLS), spark.createDataFrame(control, CONTROL_COLS))
+    assert table.schema.simpleString().replace("bigint", "long")[7:-1] == EVENTS.replace(", ", ",").replace(" ", ":")
+    told = [tuple(r) for r in table.collect()]
+    return as_stream(spark, [[r for r in told if at(a) <= r[1] < at(b)] for a, b in zip(CUTS, CUTS[1:])], table.schema, path)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_stale_answers(spark, tmp_path, rows, seed):
+    frames, answers, control = given = live_rows(seed)
+    got = run(fresh_responses_stream(live_stream(spark, given, tmp_path / "in")), tmp_path)
+    batch = fr.drop_stale_responses(
+        spark.createDataFrame(answers, ANSWER_COLS), spark.createDataFrame(frames, FRAME_COLS), control=spark.createDataFrame(control, CONTROL_COLS)
     )
-    # All frames are good here, so seq is frame_seq.  Overtaken answers do not reach the stream.
-    told = {(s, f, n): (text, src) for s, f, n, text, src in lines}
-    rows = [(s, e, f, f, t, texts, None) for s, e, f, t, texts in frames]
-    for s, f, n, a, t, i in answers:
-        if at(800 * f) <= t and (t < at(800 * f + 800) or f == 30):
-            rows.append((s, None, f, f, t, None, (n, *told[s, f, n], a, i)))
-    cuts = [at(0), at(5_000), at(5_500), at(12_000), at(20_000), at(99_999)]
-    batches = [[r for r in rows if a <= r[4] < b] for a, b in zip(cuts, cuts[1:])]
-    stream = as_stream(spark, batches, schema, tmp_path / "in")
-    out = run(live_translate(stream, memory, "en", "lowLatency"), tmp_path, "update")
+    cols = ["session_id", "frame_seq", "line_no", "answer", "ts"]
+    assert rows(got, *cols) == rows(batch, *cols) and 0 < batch.count() < len(answers)
+
+
+@pytest.mark.parametrize("seed,configured", [(6, None), (7, None), (8, "fr-FR"), (9, "auto")])
+def test_live_translate_equals_replay(spark, tmp_path, seed, configured):
+    frames, answers, control = given = live_rows(seed)
+    memory = spark.createDataFrame([("fr-Latn-FR", "lowLatency", "en", "p", "P")], "source string, strategy string, target string, text string, translated string")
+    profile = None
+    if configured == "auto":
+        profile = language_profile(spark.createDataFrame([("p q r", "fr"), ("q", "en"), ("r\np", "de")], "text string, lang string"))
+    out = run(live_translate(live_stream(spark, given, tmp_path / "in"), memory, "en", "lowLatency", configured, profile), tmp_path)
     got = {tuple(r[:3]): (r["line_id"], r["translated"], r["seq"]) for r in shown_lines(out).collect()}
-    ok = spark.createDataFrame([(*f[:4], "ok") for f in frames], "session_id string, epoch int, frame_seq long, ts timestamp, status string")
+    lines = [(s, f, *t) for s, f, _, _, texts in frames for t in texts]
     batch = replay_live(
-        ok,
+        spark.createDataFrame([f[:4] for f in frames], FRAME_COLS.split(", lines")[0]),
         spark.createDataFrame(lines, "session_id string, frame_seq long, line_no int, text string, source string"),
         memory,
-        spark.createDataFrame(answers, aschema),
-        configured=None,
-        session_cache=True,
+        spark.createDataFrame(answers, ANSWER_COLS),
+        configured=configured,
+        profile=profile,
+        cache="session",
+        control=spark.createDataFrame(control, CONTROL_COLS),
     )
     want = {(r["session_id"], r["frame_seq"], r["line_no"]): (r["line_id"], r["translated"], r["seq"]) for r in batch.collect()}
     assert got == want
-    assert any(v[1] is None for v in want.values())
+    assert want and (configured == "auto" or any(v[1] is None for v in want.values()) and any(v[1] for v in want.values()))
+
+
+def test_sources_of_a_frame(spark):
+    labelled = spark.createDataFrame([("the cat sat on", "en"), ("le chat est la", "fr"), ("der Hund ist da", "de")], "text string, lang string")
+    profile = language_profile(labelled)
+    lines = [("s", 1, 0, "the cat"), ("s", 1, 1, "x"), ("s", 1, 2, "le"), ("s", 2, 0, "zz"), ("s", 3, 0, "Hund"), ("s", 3, 1, "ca"), ("s", 4, 0, "at")]
+    df = spark.createDataFrame(lines, "session_id string, frame_seq long, line_no int, text string")
+    want = {tuple(r[:3]): r["source"] for r in resolve_sources(df, "auto", profile).collect()}
+    frames = df.groupBy("session_id", "frame_seq").agg(F.array_sort(F.collect_list(F.struct("line_no", F.lower("text").alias("t")))).alias("x"))
+    found = frames.select("session_id", "frame_seq", "x", source_finder(profile)(F.transform("x", lambda r: r["t"])).alias("s")).collect()
+    assert {(r[0], r[1], x["line_no"]): s for r in found for x, s in zip(r["x"], r["s"], strict=True)} == want
+
+
+def test_idle_texts_are_forgotten(spark, tmp_path):
+    """The answer of a text that was not shown for a while does not serve its next frame."""
+    one = [(0, "t", "fr")]
+    frames = [("s", f, at(1000 * f), "ok", one if f != 2 else []) for f in (1, 2, 3)]
+    answers, control = [("s", 1, 0, "T", at(1100), 1)], [("s", at(0), 0, "place")]
+    table = live_events(spark.createDataFrame(frames, FRAME_COLS), spark.createDataFrame(answers, ANSWER_COLS), spark.createDataFrame(control, CONTROL_COLS))
+    told = [tuple(r) for r in table.collect()]
+    memory = spark.createDataFrame([], "source string, strategy string, target string, text string, translated string")
+    for idle, last in ((3_600_000, "T"), (1, None)):
+        name, folder = f"idle_{idle}", tmp_path / str(idle)
+        stream = as_stream(spark, [[r for r in told if r[1] < at(2500)]], table.schema, folder / "in")
+        out = live_translate(stream, memory, "en", "lowLatency", idle_ms=idle)
+        q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "ck")).trigger(processingTime="200 milliseconds").start()
+        try:
+            for _ in range(300):
+                if spark.table(name).where("translated is not null").count():
+                    break
+                time.sleep(0.1)
+            time.sleep(0.3)
+            spark.createDataFrame([r for r in told if r[1] >= at(2500)], table.schema).coalesce(1).write.parquet(f"{folder}/in/9999")
+            for _ in range(300):
+                got = {r["frame_seq"]: r["translated"] for r in shown_lines(spark.table(name)).collect()}
+                if 3 in got:
+                    break
+                time.sleep(0.1)
+        finally:
+            q.stop()
+        assert got == {1: "T", 3: last}
 
 
 def test_cadence(spark, tmp_path):
