@@ -659,6 +659,37 @@ ORACLE: dict[str, str] = {
         "points",
         "pickable",
     ),
+    "topmost_window_at_snapshots": _sql(
+        """
+        SELECT p.point_id, p.point_id % 5 AS snapshot, arg_min(w.window_id, w.z) AS window_id
+        FROM points p LEFT JOIN (SELECT window_id, z, (window_id + j) % 5 AS snapshot, x + 7.0::DOUBLE * j AS x, y, w, h
+                                 FROM pickable, range(3) AS t(j)) w
+          ON w.snapshot = p.point_id % 5 AND p.px >= w.x AND p.px < w.x + w.w AND p.py >= w.y AND p.py < w.y + w.h
+        GROUP BY p.point_id""",
+        "points",
+        "pickable",
+    ),
+    "max_overlap_display_snapshots": _sql(
+        """
+        SELECT rect_id, snapshot, display_id FROM (
+          SELECT r.rect_id, d.snapshot, d.id::BIGINT AS display_id, row_number() OVER (PARTITION BY r.rect_id ORDER BY
+            greatest(0, least(r.x + r.w, d.x + d.w) - greatest(r.x, d.x))
+              * greatest(0, least(r.y + r.h, d.y + d.h) - greatest(r.y, d.y)) DESC, d.id) AS rk
+          FROM rects r JOIN (SELECT *, (id + j) % 5 AS snapshot FROM (SELECT id, x + 7.0::DOUBLE * j AS x, y, w, h, j
+                             FROM displays, range(3) AS t(j))) d ON d.snapshot = r.rect_id % 5) WHERE rk = 1""",
+        "rects",
+        "displays",
+    ),
+    "first_intersecting_display_snapshots": _sql(
+        """
+        SELECT w.window_id, w.window_id % 5 AS snapshot, min(d.id)::BIGINT AS display_id, coalesce(arg_min(d.scale, d.id), 2) AS scale
+        FROM windows w LEFT JOIN (SELECT id, scale, (id + j) % 5 AS snapshot, x + 7.0::DOUBLE * j AS x, y, w, h
+                                  FROM displays, range(3) AS t(j)) d
+          ON d.snapshot = w.window_id % 5 AND w.x < d.x + d.w AND d.x < w.x + w.w AND w.y < d.y + d.h AND d.y < w.y + w.h
+        GROUP BY w.window_id""",
+        "windows",
+        "displays",
+    ),
     "first_intersecting_display": _sql(
         """
         SELECT w.window_id, min(d.id)::BIGINT AS display_id, coalesce(arg_min(d.scale, d.id), 2) AS scale

@@ -276,6 +276,33 @@ def _(spark, sf):
     return geo.topmost_window_at(fx.points(spark, sf), wins).select("point_id", "window_id")
 
 
+def _snapshots(df, key):
+    """Every row in three of five snapshots, each time a little further to the right."""
+    each = df.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("snapshot", (F.col(key) + F.col("j")) % 5)
+    return each.withColumn("x", F.col("x") + F.col("j") * 7.0)
+
+
+@query("topmost_window_at_snapshots")
+def _(spark, sf):
+    wins = _snapshots(geo.pickable_windows(fx.windows(spark, sf), 3, 800.0), "window_id")
+    points = fx.points(spark, sf).withColumn("snapshot", F.col("point_id") % 5)
+    return geo.topmost_window_at(points, wins, keys=["snapshot"], most=4).select("point_id", "snapshot", "window_id")
+
+
+@query("max_overlap_display_snapshots")
+def _(spark, sf):
+    rects, displays = fx.rects(spark, sf).withColumn("snapshot", F.col("rect_id") % 5), _snapshots(fx.displays(spark, sf), "display_id")
+    out = geo.max_overlap_display(rects, displays, ["rect_id"], keys=["snapshot"])
+    return out.select("rect_id", "snapshot", "display_id")
+
+
+@query("first_intersecting_display_snapshots")
+def _(spark, sf):
+    wins, displays = fx.windows(spark, sf).withColumn("snapshot", F.col("window_id") % 5), _snapshots(fx.displays(spark, sf), "display_id")
+    out = geo.first_intersecting_display(wins, displays, ["window_id"], keys=["snapshot"])
+    return out.select("window_id", "snapshot", "display_id", "scale")
+
+
 @query("first_intersecting_display")
 def _(spark, sf):
     out = geo.first_intersecting_display(fx.windows(spark, sf), fx.displays(spark, sf), ["window_id"])

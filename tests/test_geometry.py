@@ -95,6 +95,44 @@ def test_topmost_window_equals_brute_force(spark, small, hot, cell):
     assert {r["point_id"]: r["window_id"] for r in got.collect()} == {q[0]: top(q) for q in pts}
 
 
+@pytest.mark.parametrize("most,hot", [(64, None), (0, None), (3, 10)])
+def test_snapshots_full_cells_and_large_windows(spark, most, hot):
+    """10,000 windows shifted by less than a pixel in one cell, full screens and specks; each snapshot on its own."""
+    rnd = random.Random(most)
+    n = 10_000 if most == 64 else 200
+    wins = [("a", i, rnd.randrange(10**6), 3 + i * 0.0007, 4 + i * 0.0005, 9.0 + i % 7, 8.0 + i % 5) for i in range(n)]
+    wins += [("b", 20_000 + i, rnd.randrange(10**6), rnd.uniform(-500, 500), rnd.uniform(-500, 500), rnd.choice([0.01, 5.0, 64.0, 3000.0]), rnd.choice([0.5, 32.0, 1200.0])) for i in range(150)]
+    wins += [("b", 30_000, 1, None, 0.0, 5.0, 5.0), ("a", 30_001, 2, 0.0, 0.0, 0.0, 5.0), (None, 30_002, 0, 0.0, 0.0, 9e9, 9e9)]
+    pts = [(i, rnd.choice("abc"), rnd.uniform(0, 25), rnd.uniform(0, 25)) for i in range(150)]
+    pts += [(1000 + i, "ab"[i % 2], *rnd.choice([(w[3], w[4]), (w[3] + w[5], w[4]), (w[3] + w[5] / 2, w[4] + w[6])])) for i, w in enumerate(rnd.sample(wins[:-3], 100))]
+    pts += [(5000, "a", None, 3.0), (5001, None, 4.0, 5.0), (5002, "a", 5.0, 6.0), (5003, "a", 5.0, 6.0)]
+
+    def top(p):
+        hit = [w for w in wins if w[0] == p[1] is not None and p[2] is not None and w[3] is not None and w[3] <= p[2] < w[3] + w[5] and w[4] <= p[3] < w[4] + w[6]]
+        return min(hit, key=lambda w: (w[2], w[1]))[1] if hit else None
+
+    w = spark.createDataFrame(wins, "snap string, window_id long, z long, x double, y double, w double, h double")
+    p = spark.createDataFrame(pts, "point_id long, snap string, px double, py double")
+    got = geo.topmost_window_at(p, w, keys=["snap"], most=most, hot_rows=hot)
+    assert got.columns == ["point_id", "snap", "px", "py", "window_id"]
+    assert {r["point_id"]: r["window_id"] for r in got.collect()} == {q[0]: top(q) for q in pts}
+
+
+@pytest.mark.parametrize("max_displays", [256, 1])
+def test_displays_of_a_snapshot(displays, rects, spark, max_displays):
+    df, data = displays
+    some = df.where("display_id % 2 = 0").withColumn("snap", F.lit("a")).unionByName(df.where("display_id > 2").withColumn("snap", F.lit("b")))
+    mine = {"a": [d for d in data if d[0] % 2 == 0], "b": [d for d in data if d[0] > 2], "c": []}
+    r = rects[0].withColumn("snap", F.element_at(F.array(*map(F.lit, "abc")), (F.col("rect_id") % 3 + 1).cast("int")))
+    snap = lambda i: "abc"[i % 3]
+    best = {x[0]: max(mine[snap(x[0])], key=lambda d: (area(x, d), -d[1]), default=(None,))[0] for x in rects[1]}
+    got = geo.max_overlap_display(r, some, ["rect_id"], max_displays, ["snap"])
+    assert {x["rect_id"]: x["display_id"] for x in got.collect()} == best
+    hit = lambda x: next((d[0] for d in mine[snap(x[0])] if min(x[1] + x[3], d[2] + d[4]) > max(x[1], d[2]) and min(x[2] + x[4], d[3] + d[5]) > max(x[2], d[3])), None)
+    got = geo.first_intersecting_display(r, some, ["rect_id"], max_displays=max_displays, keys=["snap"])
+    assert {x["rect_id"]: x["display_id"] for x in got.collect()} == {x[0]: hit(x) for x in rects[1]}
+
+
 def test_half_open(spark):
     w = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0)], "window_id long, z long, x double, y double, w double, h double")
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 5.0), (3, 5.0, 10.0)], "point_id long, px double, py double")
