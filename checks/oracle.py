@@ -261,13 +261,13 @@ CTE: dict[str, tuple[list[str], str]] = {
           concat('e', event_id) AS message, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
         FROM events""",
     ),
-    # Character grams of the even documents' lines, add-one smoothing.
+    # Character grams of all documents' lines, add-one smoothing.
     "train": (
         ["doc_lines"],
         """
         SELECT lang, substring(x, i, 3) AS g, count(*) AS c
         FROM (SELECT lang, x, unnest(range(1, greatest(length(x) - 2, 1) + 1)) AS i
-              FROM (SELECT lang, lower(text) AS x FROM doc_lines WHERE doc_id % 2 = 0))
+              FROM (SELECT lang, lower(text) AS x FROM doc_lines))
         GROUP BY ALL""",
     ),
     "totals": (
@@ -457,6 +457,19 @@ _AVAILABLE = """
       FROM fold f JOIN status_events e ON e.user_id = f.user_id AND e.i = f.i + 1)
     SELECT event_id, user_id, kind, unavailable, last_error FROM fold WHERE i > 0"""
 
+_SPANS = """
+    SELECT user_id, start, stop AS "end", n_events FROM (
+      SELECT user_id, min(ts) AS start, count(*) FILTER (WHERE kind <> 'end') AS n_events,
+             CASE arg_max(kind, (ts, event_id)) WHEN 'end' THEN max(ts) WHEN 'move' THEN max(ts) + INTERVAL 6 HOUR END AS stop
+      FROM (SELECT *, sum(opens) OVER w AS span FROM (
+        SELECT *, CASE WHEN lag(kind) OVER v = 'begin' OR (lag(kind) OVER v = 'move' AND ts <= lag(ts) OVER v + INTERVAL 6 HOUR)
+                       THEN 0 ELSE 1 END AS opens
+        FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'begin' WHEN 'purchase' THEN 'end' ELSE 'move' END AS kind FROM events)
+        WINDOW v AS (PARTITION BY user_id ORDER BY ts, event_id))
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+      GROUP BY user_id, span HAVING arg_min(kind, (ts, event_id)) <> 'end')
+    WHERE {where}"""
+
 _PIXELS = """
     SELECT session_id, frame_seq, line_no, round(x * 1920, 6) AS px, round(y * 1080, 6) AS py,
            round((1 - (y + h)) * 1080, 6) AS py_up, round(w * 1920, 6) AS pw, round(h * 1080, 6) AS ph
@@ -552,6 +565,16 @@ ORACLE: dict[str, str] = {
     "pickable_windows": _sql("SELECT window_id, z, x, y, w, h FROM pickable", "pickable"),
     "line_font_size": _sql(_FONT, "boxes"),
     "paragraph_rollup": _sql(_PARAGRAPHS, "boxes"),
+    "paragraph_rollup_padded": _sql(
+        r"""
+        SELECT session_id, frame_seq, para_no, row_count,
+               regexp_replace(regexp_replace(t, '^[\p{Z}\t\n\x0B\f\r\x{85}]+', ''), '[\p{Z}\t\n\x0B\f\r\x{85}]+$', '') AS text
+        FROM (SELECT session_id, frame_seq, para_no, count(*) AS row_count,
+                     string_agg(CASE WHEN line_no % 3 = 0 THEN concat(chr(12288), ' ', text) ELSE concat(text, ' ', chr(8232)) END,
+                                chr(10) ORDER BY line_no) AS t
+              FROM boxes WHERE para_no % 5 <> 1 GROUP BY session_id, frame_seq, para_no)""",
+        "boxes",
+    ),
     "assemble_original": _sql(
         """
         SELECT * FROM (SELECT session_id, frame_seq, string_agg(text, chr(10) ORDER BY line_no) AS original
@@ -741,6 +764,8 @@ ORACLE: dict[str, str] = {
             SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR
                            THEN 0 ELSE 1 END AS opens FROM events))
         GROUP BY user_id, span""",
+    "interaction_spans_begin_end": _SPANS.format(where="true"),
+    "interaction_stream": _SPANS.format(where="stop IS NOT NULL"),
     "sample_latest": """
         SELECT user_id, date_trunc('hour', ts) AS tick, ts, event_id, event_type FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS rk
@@ -822,6 +847,13 @@ ORACLE: dict[str, str] = {
         "sources",
         "worded_sources",
     ),
+    "translate_capture_failures": _sql(
+        """
+        SELECT session_id, frame_seq, line_no, CASE WHEN source IN ('fr', 'es') THEN concat('mt:', text) ELSE text END AS translated,
+               source = 'de' AS unavailable, CASE WHEN source = 'de' THEN 'RuntimeError: no model' END AS error
+        FROM sources""",
+        "sources",
+    ),
     "translate_capture_lines": _sql(
         """
         SELECT session_id, frame_seq, line_no, 'fr-Latn-FR' AS source_max, false AS same_language,
@@ -851,6 +883,7 @@ _INTEGERS = {
             "resolve_sources", "tm_lookup", "carry_forward", "lexicon_translate", "live_trigger", "live_translate",
             "live_translate_auto", "fresh_responses_stream",
             "replay_live", "replay_live_session_cache", "replay_live_no_cache", "replay_live_auto", "translate_capture_lines",
+            "translate_capture_failures",
         )
     },
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from linestream.schema import FRAME, LINE
 from linestream.sources.sinks import export_stamped
 from linestream.sources.tables import lines_from_text, read_lines
 from linestream.streaming import sinks
+from linestream.streaming.events import interaction_stream
 from linestream.streaming.live import fresh_responses_stream, live_events, live_translate, shown_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +139,18 @@ def _(spark, sf):
     return rounded(out, "x", "y", "w", "h", "char_scale")
 
 
+@query("paragraph_rollup_padded")
+def _(spark, sf):
+    """White space around some lines, and paragraphs of white space only."""
+    text = (
+        F.when(F.col("para_no") % 5 == 1, F.lit("\u00a0 \t"))
+        .when(F.col("line_no") % 3 == 0, F.concat(F.lit("\u3000 "), F.col("text")))
+        .otherwise(F.concat(F.col("text"), F.lit(" \u2028")))
+    )
+    out = geo.paragraph_rollup(fx.boxes(spark, sf).withColumn("text", text), [*FRAME, "para_no"])
+    return out.select(*FRAME, "para_no", "text", "row_count")
+
+
 @query("assemble_original")
 def _(spark, sf):
     return tx.assemble_original(fx.lines(spark, sf))
@@ -172,8 +186,7 @@ def _(spark, sf):
 
 
 def _profile(spark, sf):
-    docs = fx.documents(spark, sf).where(F.col("doc_id") % 2 == 0)
-    return lg.language_profile(lines_from_text(docs, ["doc_id", "lang"]), ["de", "en", "es", "fr"])
+    return lg.language_profile(lines_from_text(fx.documents(spark, sf), ["doc_id", "lang"]), ["de", "en", "es", "fr"])
 
 
 @query("language_profile")
@@ -408,6 +421,39 @@ def _(spark, sf):
     return ev.interaction_spans(fx.events(spark, sf), "user_id", ["ts", "event_id"], "6 hours")
 
 
+def _interactions(spark, sf):
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "begin").when(t == "purchase", "end").otherwise(t)
+    return fx.events(spark, sf).withColumn("kind", kind)
+
+
+@query("interaction_spans_begin_end")
+def _(spark, sf):
+    return ev.interaction_spans(_interactions(spark, sf), "user_id", ["ts", "event_id"], "6 hours", kind="kind")
+
+
+@query("interaction_stream")
+def _(spark, sf):
+    """The same on a stream, in two arrivals; two later signs of life move the watermark past the last spans."""
+    work = shared_dir(spark, "interactions")
+    events = _interactions(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.col("ts").cast("double")
+    half, last = events.agg(F.percentile_approx(at, 0.5), F.max("ts")).first()
+    alive = [
+        events.limit(1).withColumns(
+            {"user_id": F.lit(None).cast("long"), "kind": F.lit("end"), "ts": F.lit(last) + F.expr(f"interval {30 * i} days")}
+        )
+        for i in (1, 2)
+    ]
+    for part in (events.where(at <= half), events.where(at > half), *alive):
+        part.write.mode("append").parquet(f"{work}/in")
+        stream = read_lines(spark, f"{work}/in", streaming=True, schema=events.schema)
+        out = interaction_stream(stream, "user_id", "ts", timedelta(hours=6), "0 seconds", "event_id", "kind")
+        _rows_of(out.writeStream, work)
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}
+    return spark.read.parquet(f"{work}/out").select("user_id", "start", "end", "n_events").withColumns(ntz)
+
+
 @query("sample_latest")
 def _(spark, sf):
     return ev.sample_latest(fx.events(spark, sf), "user_id", "ts", "1 hour", ["event_id", "event_type"], "event_id")
@@ -584,6 +630,20 @@ def _(spark, sf):
     return tx.assemble_translation(lines, "region")
 
 
+def failing_translator(batch: pd.DataFrame) -> pd.Series:
+    if batch["source"].iloc[0].startswith("de"):
+        raise RuntimeError("no model")
+    return "mt:" + batch["text"]
+
+
+@query("translate_capture_failures")
+def _(spark, sf):
+    """A translator without a model for one of the languages."""
+    backend = translator_backend(failing_translator, TARGET, STRATEGY)
+    lines = translate_capture(fx.lines(spark, sf), backend, "auto", TARGET, STRATEGY, _profile(spark, sf))
+    return lines.select(*LINE, "translated", "unavailable", "error")
+
+
 @query("translate_capture_lines")
 def _(spark, sf):
     backend = translator_backend(stub_translator, TARGET, STRATEGY)

@@ -44,19 +44,41 @@ def debounce_last(
     return nxt.where(keep).drop("__next")
 
 
-def interaction_spans(df: DataFrame, key: str, order: list[str], gap: str, hot_rows: int | None = None) -> DataFrame:
+def interaction_spans(
+    df: DataFrame, key: str, order: list[str], gap: str, hot_rows: int | None = None, kind: str | None = None
+) -> DataFrame:
     """Spans of activity ``[start, last + gap)`` with their number of events.
 
     The same spans as a session window gives, but a hot key is scanned in chunks and a hot span
     is combined ahead of the shuffle.
+
+    ``kind`` names a column that tells ``begin`` and ``end`` events from others, which only say that there is activity.
+    What came last decides: after other activity the span ends when ``gap`` has passed, after ``begin`` it stays open, and
+    ``end`` ends it at once.  A span still open has no ``end``; an ``end`` outside of a span is nothing; ``n_events``
+    does not count the ends.
     """
     ts = order[0]
-    src = df.select(key, *order)
+    if kind is None:
+        src = df.select(key, *order)
+        split = Split.of(src, [key], order, hot_rows)
+        marked = runs(src, split, "start", F.col(ts), lambda before, here: _apart(here, before, gap), F.col(ts))
+        return marked.groupBy(key, "start").agg(
+            (F.max(ts) + F.expr(f"interval {gap}")).alias("end"), F.count(F.lit(1)).alias("n_events")
+        )
+    what = F.when(F.col(kind).isin("begin", "end"), F.col(kind)).otherwise("move")
+    src = df.select(key, *order, what.alias("__kind"))
     split = Split.of(src, [key], order, hot_rows)
-    marked = runs(src, split, "start", F.col(ts), lambda before, here: _apart(here, before, gap), F.col(ts))
-    return marked.groupBy(key, "start").agg(
-        (F.max(ts) + F.expr(f"interval {gap}")).alias("end"), F.count(F.lit(1)).alias("n_events")
+    row = F.struct(F.col(ts).alias("ts"), F.col("__kind").alias("kind"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    opens = lambda before, here: (before["kind"] == "end") | (
+        (before["kind"] == "move") & _apart(here["ts"], before["ts"], gap)
+    )
+    marked = runs(src, split, "__open", row, opens, row).where(F.col("__open.kind") != "end")
+    last = F.max_by(F.struct(F.col(ts).alias("ts"), F.col("__kind").alias("kind")), F.struct(*order))
+    spans = marked.groupBy(key, "__open").agg(last.alias("__last"), F.count_if(F.col("__kind") != "end").alias("n_events"))
+    end = F.when(F.col("__last.kind") == "end", F.col("__last.ts")).when(
+        F.col("__last.kind") == "move", F.col("__last.ts") + F.expr(f"interval {gap}")
     )
+    return spans.select(key, F.col("__open.ts").alias("start"), end.alias("end"), "n_events")
 
 
 def sample_latest(df: DataFrame, key: str, ts: str, every: str, values: list[str], tie: str) -> DataFrame:

@@ -155,21 +155,19 @@ def frame_diff(lines: DataFrame, frames: DataFrame, attrs: list[str] | None = No
     """
     attrs = attrs or ["line_no"]
     occ = _occurrence(on_good_frames(lines, good_frames(frames, hot_rows), ["seq", "epoch", "continues"]))
+    # Each line twice, for its own frame and for the next: one grouped reduce brings the two frames' sides together.
+    here = F.struct(F.col("seq").alias("seq"), F.lit(True).alias("cur"))
+    after = F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("cur"))
+    sides = F.when(F.col("continues"), F.array(here, after)).otherwise(F.array(here))
+    each = occ.select("session_id", "epoch", "text", "k", F.struct(*attrs).alias("__a"), F.explode(sides).alias("__s"))
     key = ["session_id", "epoch", "seq", "text", "k"]
-    cur = occ.select(*key, *[F.col(a).alias(f"__cur_{a}") for a in attrs], F.lit(True).alias("__cur"))
-    old = (
-        occ.where("continues")
-        .withColumn("seq", F.col("seq") + 1)
-        .select(*key, *[F.col(a).alias(f"__old_{a}") for a in attrs], F.lit(True).alias("__old"))
-    )
-    both = cur.join(old, key, "full")
+    side = lambda cur: F.first(F.when(F.col("__s.cur") == cur, F.col("__a")), ignorenulls=True)
+    both = each.withColumn("seq", F.col("__s.seq")).groupBy(*key).agg(side(True).alias("__cur"), side(False).alias("__old"))
     change = (
         F.when(F.col("__cur").isNull(), "removed").when(F.col("__old").isNull(), "added").otherwise("kept")
     )
-    shown = [
-        F.when(F.col("__cur").isNull(), F.col(f"__old_{a}")).otherwise(F.col(f"__cur_{a}")).alias(a) for a in attrs
-    ]
-    return both.select(*key, change.alias("change"), *shown)
+    shown = F.coalesce("__cur", "__old")
+    return both.select(*key, change.alias("change"), *[shown[a].alias(a) for a in attrs])
 
 
 def carry_forward(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linestream.functions.text import trim_unicode
 from linestream.scale import Split, fits, lookup_join, materialize, running
 
 MIN_DRAG = 8
@@ -86,11 +87,11 @@ def paragraph_rollup(line_obs: DataFrame, keys: list[str]) -> DataFrame:
     """Lines to paragraphs: text, bounding box, row count, direction, column scale.
 
     Vertical when at least half of the lines run top to bottom; the scale is then the mean width of
-    all lines.
+    all lines.  White space around the text is taken off; a paragraph without any other text is none.
     """
     rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     g = line_obs.groupBy(*keys).agg(
-        F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"),
+        trim_unicode(F.array_join(F.transform(rows, lambda r: r["text"]), "\n")).alias("text"),
         F.min("x").alias("x"),
         F.min("y").alias("y"),
         F.max(F.col("x") + F.col("w")).alias("__x1"),
@@ -100,7 +101,7 @@ def paragraph_rollup(line_obs: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("w").alias("__avg_w"),
     )
     vertical = (F.col("__n") > 0) & (2 * F.col("__ttb") >= F.col("__n"))
-    return g.select(
+    return g.where(F.col("text") != "").select(
         *keys,
         "text",
         "x",

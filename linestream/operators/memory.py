@@ -104,9 +104,9 @@ def match_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def apply_translations(
-    lines: DataFrame, answers: DataFrame, policy: str, on: list[str], text: str = "text"
+    lines: DataFrame, answers: DataFrame, policy: str, on: list[str], text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """Put ``answer`` into ``translated``.
+    """Put ``answer`` into ``translated``; ``keep`` names columns of ``answers`` that come along.
 
     ``answers`` holds one row per ``on`` key, ``lines`` too, so no key is hot.  Lines without an
     answer take their source text under ``region``, stay NULL (to be asked again) under ``live``.
@@ -116,7 +116,7 @@ def apply_translations(
     value = F.coalesce("answer", "translated")
     if policy == "region":
         value = F.coalesce(value, F.col(text))
-    return lines.join(answers.select(*on, "answer"), on, "left").withColumn("translated", value).drop("answer")
+    return lines.join(answers.select(*on, "answer", *(keep or [])), on, "left").withColumn("translated", value).drop("answer")
 
 
 def tm_upsert(tm: DataFrame, answers: DataFrame) -> DataFrame:

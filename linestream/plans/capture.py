@@ -13,7 +13,7 @@ from linestream.operators.memory import Translator, apply_translations, join_ans
 from linestream.operators.text import clean_lines, lexicon_translate
 from linestream.schema import AUTO, LINE
 
-# Takes the pending lines (with ``source``, ``source_max``, ``text``), gives ``LINE + (answer)``.
+# Takes the pending lines (with ``source``, ``source_max``, ``text``), gives ``LINE + (answer)``, perhaps with ``error``.
 Backend = Callable[[DataFrame], DataFrame]
 
 
@@ -29,7 +29,7 @@ def translator_backend(translator: Translator, target: str, strategy: str, parti
     def run(pending: DataFrame) -> DataFrame:
         asked = pending.select(*LINE, "source_max", "text")
         return join_answers(asked, translate_batches(asked, translator, target, strategy, partitions)).select(
-            *LINE, "answer"
+            *LINE, "answer", "error"
         )
 
     return run
@@ -45,11 +45,14 @@ def translate_capture(
 ) -> DataFrame:
     """Clean, find each line's language, translate what is not in the target language yet.
 
-    Every line ends with a translation: its own text where no answer came.  This path does not
-    read the translation memory.
+    Every line ends with a translation: its own text where no answer came.  ``unavailable`` marks the lines whose
+    translator failed, with its ``error``, if the backend tells.  This path does not read the translation memory.
     """
     resolved = resolve_sources(clean_lines(lines), source, profile, checkpoint=True)
     keyed = with_keys(resolved, target, strategy)
     answers = backend(keyed.where(~F.col("same_language")))
     ready = keyed.withColumn("translated", F.when(F.col("same_language"), F.col("text")))
-    return apply_translations(ready, answers, "region", LINE)
+    if "error" not in answers.columns:
+        answers = answers.withColumn("error", F.lit(None).cast("string"))
+    done = apply_translations(ready, answers, "region", LINE, keep=["error"])
+    return done.withColumn("unavailable", F.col("error").isNotNull())

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def debounce_stream(
@@ -33,3 +37,62 @@ def spans_stream(df: DataFrame, key: str, ts: str, gap: str, delay: str) -> Data
         .agg(F.count(F.lit(1)).alias("n_events"))
         .select(key, F.col("__w.start").alias("start"), F.col("__w.end").alias("end"), "n_events")
     )
+
+
+class SpanFold(StatefulProcessor):
+    """The open span of one key: when it began, its last event, how many there were.  Times are microseconds."""
+
+    def __init__(self, gap: timedelta, key: str) -> None:
+        self.gap, self.key = gap // timedelta(microseconds=1), key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("span", "start long, at long, kind string, n long")
+
+    def close(self) -> None:
+        pass
+
+    def _told(self, key, start: int, end: int, n: int) -> Row:
+        return Row(self.key, "start", "end", "n_events")(key[0], start, end, n)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        out, span = [], self.state.get()
+        span = tuple(span) if span else None
+        for r in sorted(rows, key=lambda r: (r.at, r.tie)):
+            if span and span[2] == "move" and r.at > span[1] + self.gap:
+                out.append(self._told(key, span[0], span[1] + self.gap, span[3]))
+                span = None
+            if r.kind == "end":
+                if span:
+                    out.append(self._told(key, span[0], r.at, span[3]))
+                span = None
+            else:
+                span = (span[0] if span else r.at, r.at, r.kind, span[3] + 1 if span else 1)
+        if span:
+            self.state.update(span)
+            if span[2] == "move":  # told when the watermark has passed its end, unless more comes
+                self.handle.registerTimer((span[1] + self.gap) // 1000 + 1)
+        else:
+            self.state.clear()
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        span = self.state.get()
+        if span and span[2] == "move" and (span[1] + self.gap) // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.state.clear()
+            yield self._told(key, span[0], span[1] + self.gap, span[3])
+
+
+def interaction_stream(df: DataFrame, key: str, ts: str, gap: timedelta, delay: str, tie: str, kind: str) -> DataFrame:
+    """Spans with ``begin`` and ``end`` events, as ``interaction_spans`` gives them, each told once it is over.
+
+    The state of a key is its open span alone.  A span after ``begin`` is told when something ends it.  Events of a key
+    must come in order of time from batch to batch; within one they are put in order.
+    """
+    what = F.when(F.col(kind).isin("begin", "end"), F.col(kind)).otherwise("move")
+    src = df.select(key, F.col(ts).alias("__ts"), F.unix_micros(ts).alias("at"), F.col(tie).cast("long").alias("tie"), what.alias("kind"))
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, start long, end long, n_events long"
+    told = src.withWatermark("__ts", delay).groupBy(key).transformWithState(
+        statefulProcessor=SpanFold(gap, key), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("start", "end")})

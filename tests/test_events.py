@@ -72,6 +72,44 @@ def test_events_exactly_a_gap_apart_are_one_burst(spark, hot):
     assert [(r["n_events"], (r["end"] - r["start"]).total_seconds()) for r in spans] == [(3, 15.0), (1, 5.0), (1, 5.0)]
 
 
+def literal_spans(rows, gap=5):
+    """By the rules of the window: activity starts a timer, begin stops it, end closes at once."""
+    out = []
+    for key in {r[0] for r in rows}:
+        start, until, n = None, None, 0  # until: None while open without a timer
+        for _, t, _, kind in sorted(r for r in rows if r[0] == key):
+            if start is not None and until is not None and t > until:
+                out.append((key, start, until, n))
+                start = None
+            if kind == "end":
+                if start is not None:
+                    out.append((key, start, t, n))
+                start = None
+                continue
+            if start is None:
+                start, n = t, 0
+            n, until = n + 1, None if kind == "begin" else t + gap
+        if start is not None:
+            out.append((key, start, until, n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, None), (2, 3), (3, 10)])
+def test_begin_and_end(spark, seed, hot):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, t, data = random.Random(seed), 0, []
+    for i in range(150):
+        t += rnd.choice([0, 1, 2, 5, 6, 20])
+        data.append((rnd.choice([1, 2]), t, i, rnd.choice(["begin", "end", "move", "move", "scroll", None])))
+    zero = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(k, zero + timedelta(seconds=s), i, v) for k, s, i, v in data], "key int, ts timestamp_ntz, id int, kind string")
+    got = ev.interaction_spans(df, "key", ["ts", "id"], "5 seconds", hot_rows=hot, kind="kind").collect()
+    seconds = lambda x: None if x is None else int((x - zero).total_seconds())
+    assert sorted(((r["key"], seconds(r["start"]), seconds(r["end"]), r["n_events"]) for r in got), key=repr) == literal_spans(data)
+
+
 def test_flush_emits_at_once_and_cancels_the_pending_one(spark):
     df = spark.createDataFrame(at(0, 1, 2, 9), SCHEMA).selectExpr("*", "id = 1 as flush")
     kept = ev.debounce_last(df, "key", ["ts", "id"], "5 seconds", "flush")

@@ -179,6 +179,14 @@ def test_paragraph_half_is_vertical_and_scale_averages_all(spark):
     assert (two["is_vertical"], two["char_scale"]) == (False, 0.0)
 
 
+def test_blank_paragraphs_are_none(spark, rows):
+    obs = spark.createDataFrame(
+        [(1, 0, "\u00a0a ", "ttb", 0.0, 0.0, 0.1, 0.5), (1, 1, " \t", "ltr", 0.5, 0.1, 0.3, 0.2), (2, 0, "\u3000", "ltr", 0.0, 0.0, 0.1, 0.1), (3, 0, None, "ltr", 0.0, 0.0, 0.1, 0.1)],
+        "para int, line_no int, text string, dir string, x double, y double, w double, h double",
+    )
+    assert rows(geo.paragraph_rollup(obs, ["para"]), "para", "text", "row_count") == [(1, "a", 2)]
+
+
 def test_font_size(spark):
     df = spark.createDataFrame(
         [(1, 0.5, 0.5, 1, False, 0.0, "abcd"), (2, 0.5, 0.5, 0, False, 0.0, "abcd"), (3, 0.5, 0.5, 1, True, 0.0, "abcd"), (4, 0.5, 0.5, 1, True, 0.1, "abcd")],
