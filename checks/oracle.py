@@ -867,6 +867,7 @@ CTE["placed_lines"] = (
         SELECT b.*, g.seq, g.epoch, row_number() OVER (PARTITION BY b.session_id, b.frame_seq, b.text ORDER BY b.line_no) AS k
         FROM boxes b JOIN good g ON g.session_id = b.session_id AND g.frame_seq = b.frame_seq""",
 )
+ORACLE["tm_upsert_stream"] = ORACLE["tm_upsert"]
 ORACLE["frame_diff"] = _sql(ORACLE["frame_diff"], "placed_lines")
 
 # Columns that are 32-bit integers in Spark.

@@ -459,9 +459,8 @@ def _(spark, sf):
     return ev.sample_latest(fx.events(spark, sf), "user_id", "ts", "1 hour", ["event_id", "event_type"], "event_id")
 
 
-@query("tm_upsert")
-def _(spark, sf):
-    res = fx.responses(spark, sf).select(
+def _said(spark, sf):
+    return fx.responses(spark, sf).select(
         F.col("source_max").alias("source"),
         F.lit(STRATEGY).alias("strategy"),
         F.lit(TARGET).alias("target"),
@@ -469,7 +468,27 @@ def _(spark, sf):
         F.col("text").alias("translated"),
         "arrival",
     )
-    return mem.tm_upsert(fx.tm(spark, sf), res)
+
+
+@query("tm_upsert")
+def _(spark, sf):
+    return mem.tm_upsert(fx.tm(spark, sf), _said(spark, sf))
+
+
+@query("tm_upsert_stream")
+def _(spark, sf):
+    """The answers in seven arrivals, compacted after each three."""
+    work = shared_dir(spark, "tm_upsert_stream")
+    res = _said(spark, sf)
+    res.write.parquet(f"{work}/all")
+    res = spark.read.parquet(f"{work}/all")
+    cuts = res.agg(F.percentile_approx("arrival", [i / 7 for i in range(1, 7)])).first()[0] or [0]
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = res.where((F.lit(lo).isNull() | (F.col("arrival") > F.lit(lo))) & (F.lit(hi).isNull() | (F.col("arrival") <= F.lit(hi))))
+        part.write.mode("append").parquet(f"{work}/in")
+        stream = read_lines(spark, f"{work}/in", streaming=True, schema=res.schema)
+        _until_done(stream.writeStream.foreachBatch(sinks.tm_sink(f"{work}/tm", 3)), work)
+    return sinks.read_tm(spark, f"{work}/tm", fx.tm(spark, sf))
 
 
 @query("route_errors")

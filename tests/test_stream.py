@@ -95,6 +95,46 @@ def test_memory_sink_survives_a_repeated_batch(spark, tmp_path, rows):
     assert rows(sinks.read_tm(spark, str(tmp_path / "tm")), "text", "translated") == want[:2]
 
 
+@pytest.mark.parametrize("fails_at", [None, "write", "marker", "remove"])
+def test_compacted_memory_reads_the_same_after_a_failure_at_any_step(spark, tmp_path, rows, monkeypatch, fails_at):
+    schema = "source string, strategy string, target string, text string, translated string, arrival long"
+    rnd, path, want = random.Random(5), str(tmp_path / "tm"), {}
+    put = sinks.tm_sink(path, 3)
+    for batch in range(14):
+        said = [("fr", "lowLatency", "en", rnd.choice("abcdef"), f"{batch}:{i}", i) for i in range(3)]
+        want.update({r[3]: r[4] for r in said})
+        df = spark.createDataFrame(said, schema).coalesce(1)
+        if fails_at and batch == 8:
+            with monkeypatch.context() as m:
+                if fails_at == "remove":
+                    m.setattr(sinks, "_remove", lambda *a: 1 / 0)
+                else:
+                    real = sinks.compact_tm
+
+                    def half(spark, path, upto):
+                        real(spark, path, upto)
+                        folder = tmp_path / "tm" / f"version={upto}"
+                        if fails_at == "write":  # some files are there, the mark of completion is not
+                            next(folder.glob("*.parquet")).unlink()
+                        (folder / "_SUCCESS").unlink()
+                        raise ZeroDivisionError
+
+                    m.setattr(sinks, "compact_tm", half)
+                    m.setattr(sinks, "_remove", lambda *a: None)
+                with pytest.raises(ZeroDivisionError):
+                    put(df, batch)
+            assert rows(sinks.read_tm(spark, path), "text", "translated") == sorted(want.items())
+            put(df, batch)  # the stream runs the batch again
+        else:
+            put(df, batch)
+        assert rows(sinks.read_tm(spark, path), "text", "translated") == sorted(want.items())
+    put(spark.createDataFrame([("fr", "lowLatency", "en", "a", "late", 1)], schema), 2)  # a batch that a version holds already
+    assert rows(sinks.read_tm(spark, path), "text", "translated") == sorted(want.items())
+    left = sorted(p.name for p in (tmp_path / "tm").iterdir())
+    assert [p for p in left if p.startswith("version")] == ["version=11", "version=8"]
+    assert {p for p in left if p.startswith("batch")} == {"batch=10", "batch=11", "batch=12", "batch=13", "batch=2", "batch=9"}
+
+
 def test_region_sink(spark, tmp_path, rows):
     schema = "user int, ts long, x double"
     s = as_stream(spark, [[(1, 1, 1.0), (1, 3, 3.0), (2, 1, 5.0)], [(1, 2, 2.0)]], schema, tmp_path / "in")
