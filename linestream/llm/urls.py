@@ -9,8 +9,10 @@ from linestream.llm.common import ascii_lower, written
 
 #: Rules (host, path, verdict) become part of the plan, so their number is bounded.
 MOST_RULES = 1_000
-#: Rounds of propagation, share of a host's mass that its links carry on (percent), and all mass, in whole units.
-ROUNDS, DAMPING, MASS = 8, 85, 10**15
+#: Share of a host's mass that its links carry on (percent), and all mass, in whole units.
+DAMPING, MASS = 85, 10**15
+#: Rounds that the SQL form writes out; enough where no chain of links is longer, as masses then no longer change.
+SQL_ROUNDS = 8
 #: A host is blocked whose distrust is above its trust and at least this part of (one over) the mean mass of a host.
 PART = 100
 LINK = "(?i)href\\s*=\\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/\"'?#\\s>]+)"
@@ -56,12 +58,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return direct.union(up.where("src <> '' and dst <> '' and src <> dst")).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted seeds along links, and from blocked seeds against them.
 
     ``seeds``: host, good, bad (0 or 1).  Masses are whole numbers, split by whole division: sums do not depend on the order of
     rows, so lost and repeated tasks change nothing.  A round is one pass over the edges joined with both ends, and a sum
     combined map-side; each is written to the shared folder.
+
+    Rounds go on until what they move cannot reach the threshold of a verdict any more: a round moves at most
+    ``DAMPING`` percent of what the one before moved, so all that is still to come is below ``DAMPING`` / (100 - ``DAMPING``)
+    times it.  One sum a round tells; on links without circles the masses stand still in the end.  ``rounds`` asks for a number
+    of rounds instead.
     """
     edges = written(edges, "edges", "snappy")
     out_links = edges.groupBy("src").agg(F.count("*").alias("outs"))
@@ -76,7 +83,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     )
     now = written(nodes.withColumns({"trust": F.col("good"), "distrust": F.col("bad")}), "nodes", "snappy")
     carry = lambda mass, links: F.expr(f"{mass} * {DAMPING} div 100 div {links}")
-    for _ in range(rounds):
+    unit, done = MASS // (PART * max(now.count(), 1)), 0
+    while rounds is None or done < rounds:
+        done += 1
         a = now.select(F.col("host").alias("src"), "trust")
         b = now.select(F.col("host").alias("dst"), "distrust")
         sent = edges.join(a, "src").join(b, "dst").where("trust > 0 or distrust > 0")
@@ -87,12 +96,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         )
         got = sent.select(F.explode(both).alias("x")).groupBy("x.host").agg(F.sum("x.t").alias("t"), F.sum("x.d").alias("d"))
         start = lambda seed, add: F.expr(f"{seed} * {100 - DAMPING} div 100") + F.coalesce(F.col(add), zero)
-        now = now.select("host", "good", "bad").join(got, "host", "left")
-        now = written(now.select("host", "good", "bad", start("good", "t").alias("trust"), start("bad", "d").alias("distrust")), "nodes", "snappy")
+        old = F.struct(F.col("trust").alias("t"), F.col("distrust").alias("d")).alias("old")
+        now = now.select("host", "good", "bad", old).join(got, "host", "left")
+        now = written(now.select("host", "good", "bad", start("good", "t").alias("trust"), start("bad", "d").alias("distrust"), "old"), "nodes", "snappy")
+        change = F.abs(F.col("trust") - F.col("old.t")) + F.abs(F.col("distrust") - F.col("old.d"))
+        moved = now.agg(F.sum(change)).first()[0] or 0
+        now = now.drop("old")
+        if rounds is None and (moved == 0 or moved * DAMPING < unit * (100 - DAMPING)):
+            break
     return now.select("host", "trust", "distrust")
 
 
-def filter_urls(pages: DataFrame, rules, rounds: int = ROUNDS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules, rounds: int | None = None) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     Rules (host, path, allow or block) speak first.  Hosts most of whose pages they block are blocked seeds, others with an
@@ -121,7 +136,7 @@ def filter_urls(pages: DataFrame, rules, rounds: int = ROUNDS) -> DataFrame:
     )
 
 
-def filter_sql(rules, rounds: int = ROUNDS) -> str:
+def filter_sql(rules, rounds: int = SQL_ROUNDS) -> str:
     """The same over the view ``pages`` in DuckDB SQL, the rounds written out."""
     longest = sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r), reverse=True)
     fits = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}')"

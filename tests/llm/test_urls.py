@@ -66,16 +66,37 @@ def test_masses_equal_a_plain_walk(spark):
     start = [{h: (u.MASS // len(s) if h in s else 0) for h in nodes} for s in (good, bad)]
     mass = [dict(s) for s in start]
     outs, ins = Counter(a for a, _ in edges), Counter(b for _, b in edges)
-    for _ in range(u.ROUNDS):
+    unit, moved = u.MASS // (u.PART * len(nodes)), None
+    while moved is None or moved and moved * 85 >= unit * 15:
         new = [{h: s[h] * 15 // 100 for h in nodes} for s in start]
         for a, b in edges:
             new[0][b] += mass[0][a] * 85 // 100 // outs[a]
             new[1][a] += mass[1][b] * 85 // 100 // ins[b]
+        moved = sum(abs(new[i][h] - mass[i][h]) for i in (0, 1) for h in nodes)
         mass = new
-    for r in judge(spark, rows):
+    judged = judge(spark, rows)
+    for r in judged:
         t, d = (m[r["host"]] for m in mass)
         assert (r["trust"], r["distrust"]) == (t, d)
         if r["rule"] is None:
             assert r["verdict"] == ("block" if d > t and d >= u.MASS // (u.PART * len(nodes)) else "allow")
-    verdict = {r["host"]: r["verdict"] for r in judge(spark, rows)}
+    verdict = {r["host"]: r["verdict"] for r in judged}
     assert verdict["link.example.com"] == "block" and verdict["good.example.com"] == "allow"
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    """Fifteen hosts in a row, the last of which links to a blocked one; and a circle, which ends by the masses still moved."""
+    page = lambda i, host, to: (i, f"http://{host}/x", "".join(f'<a href="//{h}/">' for h in to))
+    rows = [page(i, f"h{i}.com", [f"h{i + 1}.com" if i < 14 else "spam.net"]) for i in range(15)] + [page(50, "spam.net", [])]
+    rows += [page(60 + i, f"c{i}.com", [f"c{(i + 1) % 3}.com"]) for i in range(3)] + [(70, "http://good.org/fr/", '<a href="//c0.com/">')]
+    ranks = {r["host"]: r for r in judge(spark, rows)}
+    got = {h: r["verdict"] for h, r in ranks.items()}
+    assert all(got[f"h{i}.com"] == "block" for i in range(15)) and got["spam.net"] == "block"
+    assert all(got[f"c{i}.com"] == "allow" for i in range(3)) and got["good.org"] == "allow"
+    hosts = 15 + 1 + 3 + 1
+    unit = u.MASS // (u.PART * hosts)
+    trust = [ranks[f"c{i}.com"]["trust"] for i in range(3)]
+    t = [0.0] * 3  # the circle's own limit: good.org's mass enters at c0 and goes round
+    for _ in range(500):
+        t = [0.85 * t[2] + 0.85 * 0.15 * u.MASS, 0.85 * t[0], 0.85 * t[1]]
+    assert all(abs(a - b) < unit for a, b in zip(trust, t, strict=True))
