@@ -133,7 +133,8 @@ def train(found: DataFrame):
     Labels are those of ``candidates``.  All labelled ones count: they are summed by their features, of which there are
     few combinations however large the data is, and the trees are fitted on these weighted rows.
     """
-    seen = found.select(F.explode("cand").alias("c")).where("c.label is not null").groupBy("c.f").agg(
+    # The outer form: for the inner one Spark adds a filter on the array, for which all candidates would be found again.
+    seen = found.select(F.explode_outer("cand").alias("c")).where("c.label is not null").groupBy("c.f").agg(
         F.sum(F.col("c.label").cast("long")).alias("yes"), F.count("*").alias("n")
     )
     rows = sorted((list(r["f"]), r["yes"], r["n"]) for r in seen.collect())
