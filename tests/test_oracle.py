@@ -17,7 +17,9 @@ TWO_WAYS = [
     "clip_rects", "tm_lookup", "pending_lines", "topmost_window_at", "drop_stale_responses", "line_identity",
     "carry_forward", "changes_only", "session_state", "availability_status", "debounce_last_flush",
     "interaction_spans", "lexicon_translate", "translate_batches", "split_sections", "unique_slugs",
-    "replay_live_session_cache", "translate_capture",
+    "replay_live", "replay_live_session_cache", "replay_live_auto", "translate_capture", "live_epochs",
+    "drop_stale_responses_control", "topmost_window_at_snapshots", "max_overlap_display_snapshots",
+    "interaction_spans_begin_end",
 ]
 
 
