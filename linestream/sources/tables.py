@@ -33,7 +33,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    per_task = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    told = spark.conf.get("spark.sql.files.maxPartitionBytes")  # with or without a unit
+    per_task = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told)
     return df.repartition(cores, *keys) if size < cores * per_task else df
 
 

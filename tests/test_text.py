@@ -107,3 +107,15 @@ def test_read_lines_prunes_and_pushes_down(spark, tmp_path):
     plan = df._jdf.queryExecution().toString()
     assert "EqualTo(session_id,a)" in plan and "ReadSchema: struct<session_id:string,text:string>" in plan
     assert read_lines(spark, str(tmp_path / "lines"), streaming=True).isStreaming
+
+
+def test_spread_reads_sizes_with_units(spark):
+    from linestream.sources.tables import spread
+
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("16m", "134217728b", "1g", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert spread(spark.range(10), "id").count() == 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
