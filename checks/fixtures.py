@@ -118,11 +118,12 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def language_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """A language code per document, in ten spellings."""
+    """A language code per document, in many spellings."""
     up = F.upper("lang")
     forms = [
         F.lit("auto"), F.concat("lang", F.lit("-"), up), F.col("lang"), F.lit("en-US"), F.lit("zh-Hans"),
         F.lit("zh-Hant-TW"), F.lit("pt-BR"), F.lit(""), F.lit("tlh"), F.lit("zh-TW"),
+        F.lit("sw"), F.lit("hy"), F.lit("az"), F.lit("az-IR"), F.lit("uz-AF"), F.lit("zh-SG"), F.lit("uz_Cyrl"),
     ]
     code = F.element_at(F.array(*forms), (F.col("doc_id") % len(forms) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", code.alias("code"))

@@ -93,9 +93,10 @@ CTE: dict[str, tuple[list[str], str]] = {
     "codes": (
         [],
         """
-        SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'auto' WHEN 1 THEN concat(lang, '-', upper(lang)) WHEN 2 THEN lang
+        SELECT doc_id, CASE doc_id % 17 WHEN 0 THEN 'auto' WHEN 1 THEN concat(lang, '-', upper(lang)) WHEN 2 THEN lang
           WHEN 3 THEN 'en-US' WHEN 4 THEN 'zh-Hans' WHEN 5 THEN 'zh-Hant-TW' WHEN 6 THEN 'pt-BR' WHEN 7 THEN ''
-          WHEN 8 THEN 'tlh' ELSE 'zh-TW' END AS code
+          WHEN 8 THEN 'tlh' WHEN 9 THEN 'zh-TW' WHEN 10 THEN 'sw' WHEN 11 THEN 'hy' WHEN 12 THEN 'az' WHEN 13 THEN 'az-IR'
+          WHEN 14 THEN 'uz-AF' WHEN 15 THEN 'zh-SG' ELSE 'uz_Cyrl' END AS code
         FROM documents""",
     ),
     "names": (
@@ -620,11 +621,13 @@ ORACLE: dict[str, str] = {
     "normalize_language": _sql(
         """
         SELECT doc_id, code, CASE WHEN code LIKE 'zh%' THEN 'zh' WHEN code LIKE 'pt%' THEN 'pt'
-                 WHEN code LIKE '__-__' THEN left(code, 2) ELSE code END AS "primary",
+                 WHEN code LIKE '__-__' OR code = 'uz_Cyrl' THEN left(code, 2) ELSE code END AS "primary",
                CASE code WHEN 'en' THEN 'en-Latn-US' WHEN 'fr' THEN 'fr-Latn-FR' WHEN 'de' THEN 'de-Latn-DE'
                  WHEN 'es' THEN 'es-Latn-ES' WHEN 'en-US' THEN 'en-Latn-US' WHEN 'fr-FR' THEN 'fr-Latn-FR'
                  WHEN 'de-DE' THEN 'de-Latn-DE' WHEN 'es-ES' THEN 'es-Latn-ES' WHEN 'en-EN' THEN 'en-Latn-EN'
                  WHEN 'zh-Hans' THEN 'zh-Hans-CN' WHEN 'zh-TW' THEN 'zh-Hant-TW' WHEN 'pt-BR' THEN 'pt-Latn-BR'
+                 WHEN 'sw' THEN 'sw-Latn-TZ' WHEN 'hy' THEN 'hy-Armn-AM' WHEN 'az' THEN 'az-Latn-AZ' WHEN 'az-IR' THEN 'az-Arab-IR'
+                 WHEN 'uz-AF' THEN 'uz-Arab-AF' WHEN 'zh-SG' THEN 'zh-Hans-SG' WHEN 'uz_Cyrl' THEN 'uz-Cyrl-UZ'
                  ELSE code END AS maximal
         FROM codes""",
         "codes",
@@ -891,3 +894,4 @@ _INTEGERS = {
 for _name, _cols in _INTEGERS.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _cols)
     ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"
+ORACLE["normalize_language_table"] = ORACLE["normalize_language"]

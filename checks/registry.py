@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from linestream.functions.languages import maximal_id, primary_subtag
+from linestream.functions.languages import LIKELY, maximal_id, primary_subtag
 from linestream.operators import events as ev
 from linestream.operators import frames as fr
 from linestream.operators import geometry as geo
@@ -217,6 +217,13 @@ def _(spark, sf):
     )
 
 
+@query("normalize_language_table")
+def _(spark, sf):
+    likely = spark.createDataFrame(list(LIKELY.items()), "tag string, full string")
+    found = lg.maximal_ids(fx.language_codes(spark, sf), likely)
+    return found.select("doc_id", "code", primary_subtag(F.col("code")).alias("primary"), "maximal")
+
+
 def _catalog(spark, sf, for_source):
     docs = fx.table(spark, sf, "documents").select(F.col("lang").alias("code"))
     html = F.regexp_extract("html", '<html lang="([^"]*)"', 1)

@@ -296,17 +296,17 @@ def topmost_window_at(
     asked = spots.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__level"))
     asked = asked.withColumns({"__cx": F.floor(F.col("__px") / size), "__cy": F.floor(F.col("__py") / size)})
-    listed = lookup_join(front, full, at, "left_anti", small=small, hot_rows=hot_rows)
+    listed = lookup_join(front, full, at, "left_anti", small=small)
     lists = listed.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("win", "x0", "y0", "x1", "y1"))).alias("__wins"))
-    found = lookup_join(asked, lists, at, "inner", small=small, hot_rows=hot_rows)
+    found = lookup_join(asked, lists, at, "inner", small=small)
     inside = F.filter(
         "__wins",
         lambda r: (r["x0"] <= F.col("__px")) & (F.col("__px") < r["x1"]) & (r["y0"] <= F.col("__py")) & (F.col("__py") < r["y1"]),
     )
     hits = found.select(*keys, "__px", "__py", F.try_element_at(inside, F.lit(1))["win"].alias("win"))
     if not full.isEmpty():
-        pieces = materialize(lookup_join(front, full, at, "left_semi", small=small, hot_rows=hot_rows))
-        there = materialize(lookup_join(asked, full, at, "left_semi", small=small, hot_rows=hot_rows))
+        pieces = materialize(lookup_join(front, full, at, "left_semi", small=small))
+        there = materialize(lookup_join(asked, full, at, "left_semi", small=small))
         hits = hits.unionByName(_by_halves(pieces, there, at, hot_rows).select(*keys, "__px", "__py", "win"))
     best = hits.where(F.col("win").isNotNull()).groupBy(*keys, "__px", "__py").agg(F.min("win").alias("__best"))
     out = points.withColumns({"__px": px, "__py": py}).join(best, [*keys, "__px", "__py"], "left")
@@ -352,7 +352,7 @@ def _by_halves(pieces: DataFrame, there: DataFrame, at: list[str], hot_rows: int
     def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
         axis = column[-1] if column.startswith("__") else column[0]
         r = ranks[axis].withColumnsRenamed({"v": column, "r": out})
-        return lookup_join(df, r, [*at, column], "inner", hot_rows=hot_rows)
+        return lookup_join(df, r, [*at, column], "inner")
 
     for c in ("x0", "x1", "y0", "y1"):
         pieces = ranked(pieces, c, f"__{c}")
@@ -366,7 +366,7 @@ def _by_halves(pieces: DataFrame, there: DataFrame, at: list[str], hot_rows: int
     steps = there.select(*at, "__px", "__py", F.explode(up("__rx")).alias("bx"), "__ry").select(
         *at, "__px", "__py", "bx", F.explode(up("__ry")).alias("by")
     )
-    met = lookup_join(steps, best, [*at, "bx", "by"], "inner", hot_rows=hot_rows)
+    met = lookup_join(steps, best, [*at, "bx", "by"], "inner")
     return met.groupBy(*at, "__px", "__py").agg(F.min("win").alias("win"))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linestream.functions.languages import display_name, maximal_id
+from linestream.functions.languages import display_name, filled, maximal_id, stages, subtags
 from linestream.scale import fits, lookup_join, materialize
 from linestream.schema import AUTO, DEFAULT_SOURCE, FRAME, LINE, LINE_CONFIDENCE
 
@@ -33,6 +33,21 @@ def _grams(x: Column, n: int) -> Column:
     return F.regexp_extract_all(x, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
 
 
+def _counted(items: DataFrame, column: str, ids: list[str]) -> DataFrame:
+    """``ids, v, n``: each distinct value of the array ``column`` of a row, and how often it is there.
+
+    Worked out within the row: sorted, equal values stand together, and the places where they begin give
+    the counts.  So a row sends each of its grams once.
+    """
+    items = items.select(*ids, F.array_sort(column).alias("__s"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("__s")), lambda i: (i == 1) | (F.get("__s", i - 1) != F.get("__s", i - 2)))
+    items = items.select(*ids, "__s", F.when(F.size("__s") > 0, begins).alias("__b"))
+    end = lambda j: F.coalesce(F.get("__b", j + 1), F.size("__s") + 1)
+    runs = F.transform("__b", lambda i, j: F.struct(F.get("__s", i - 1).alias("v"), (end(j) - i).alias("n")))
+    # The outer form keeps Spark from adding a filter that works the array out a second time.
+    return items.select(*ids, F.explode_outer(runs).alias("__r")).select(*ids, "__r.v", "__r.n")
+
+
 def _text_grams(x: Column, n: int) -> Column:
     """The grams of a text on its own: one shorter than a gram is its own single gram."""
     return F.when(F.length(x) >= n, _grams(x, n)).otherwise(F.array(x))
@@ -82,13 +97,19 @@ def detect_language(
     """``ids, detected, confidence``: the top language of each text.
 
     ``detected`` is NULL where no gram is known, and, when ``min_conf > 0``, where the confidence
-    is below it.  The grams of a text stay in its task up to the partial sums, so the shuffle
-    carries one row per text.
+    is below it.  With a profile small enough to broadcast, the grams of a text stay in its task up to the
+    partial sums, so the shuffle carries one row per text.  With a larger one, a text sends each of its distinct
+    grams once, with its count, to the profile.
     """
-    grams = texts.select(*ids, F.explode(_text_grams(F.lower(text), profile.n)).alias("g"))
-    hit = lookup_join(grams, profile.grams, ["g"], "left", small=profile.small)
+    grams = _text_grams(F.lower(text), profile.n)
+    if profile.small:
+        rows, n = texts.select(*ids, F.explode(grams).alias("g")), F.lit(1)
+    else:
+        rows, n = _counted(texts.select(*ids, grams.alias("__g")), "__g", ids).withColumnRenamed("v", "g"), F.col("n")
+    hit = lookup_join(rows, profile.grams, ["g"], "left", small=profile.small)
     sums = hit.groupBy(*ids).agg(
-        F.count("lp_0").alias("__k"), *[F.sum(f"lp_{i}").alias(f"__s_{i}") for i in range(len(profile.langs))]
+        F.coalesce(F.sum(F.when(F.col("lp_0").isNotNull(), n)), F.lit(0)).alias("__k"),
+        *[F.sum(F.col(f"lp_{i}") * n).alias(f"__s_{i}") for i in range(len(profile.langs))],
     )
     best = _pick(sums, profile.langs, "__s", "__k", "line")
     lang = F.when(F.col("line_conf") >= min_conf, F.col("line_lang")) if min_conf > 0 else F.col("line_lang")
@@ -110,8 +131,9 @@ def resolve_sources(
 
     Line and frame are scored in one pass: every gram of the joined frame text belongs to the line
     it starts in, and counts for the line too when it ends there.  So the grams are made and
-    looked up once, and all steps share one shuffle on the frame.  ``checkpoint`` writes the found
-    languages (no texts) once, for plans that use the result more than once.
+    looked up once, and all steps share one shuffle on the frame.  A profile too large to broadcast gets
+    each distinct gram of a line once, with its count.  ``checkpoint`` writes the found languages (no
+    texts) once, for plans that use the result more than once.
     """
     if configured != AUTO:
         return lines.withColumn(out, F.lit(configured))
@@ -121,7 +143,7 @@ def resolve_sources(
     by_frame = Window.partitionBy(*FRAME).orderBy("line_no")
     whole = Window.partitionBy(*FRAME)
 
-    # The one shuffle.  Its width is set: making grams costs far more than its bytes let on, so it
+    # The shuffle of the texts.  Its width is set: making grams costs far more than its bytes let on, so it
     # must not be merged into fewer tasks.
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = lines.select(*LINE, F.lower("text").alias("__x")).repartition(tasks, *FRAME)
@@ -144,19 +166,24 @@ def resolve_sources(
     # There is always a gram; the outer form only keeps Spark from adding a filter that makes
     # all grams a second time.
     x = x.select(*LINE, "__len", "__only", n_ext.alias("__n"), grams.alias("__grams"))
-    rows = x.select(*LINE, "__len", "__only", "__n", F.posexplode_outer("__grams").alias("__pos", "g")).select(
-        *LINE,
-        "g",
-        ((F.col("__pos") + n <= F.col("__len")) | (F.col("__pos") == F.col("__n"))).alias("own"),
-        ((F.col("__pos") < F.col("__n")) | F.col("__only")).alias("all"),
-    )
+    own = lambda pos: (pos + n <= F.col("__len")) | (pos == F.col("__n"))
+    all_ = lambda pos: (pos < F.col("__n")) | F.col("__only")
+    if profile.small:
+        rows = x.select(*LINE, "__len", "__only", "__n", F.posexplode_outer("__grams").alias("__pos", "g")).select(
+            *LINE, "g", own(F.col("__pos")).alias("own"), all_(F.col("__pos")).alias("all")
+        )
+        times = F.lit(1)
+    else:
+        told = F.transform("__grams", lambda g, at: F.struct(g.alias("g"), own(at).alias("own"), all_(at).alias("all")))
+        rows = _counted(x.select(*LINE, told.alias("__g")), "__g", LINE).select(*LINE, "v.*", F.col("n").alias("__times"))
+        times = F.col("__times")
     hit = lookup_join(rows, profile.grams, ["g"], "left", small=profile.small)
     known = F.col("lp_0").isNotNull()
     sums = hit.groupBy(*LINE).agg(
-        F.count_if(known & F.col("own")).alias("__k"),
-        F.count_if(known & F.col("all")).alias("__fk"),
-        *[F.sum(F.when(F.col("own"), F.col(f"lp_{i}"))).alias(f"__s_{i}") for i in range(len(langs))],
-        *[F.sum(F.when(F.col("all"), F.col(f"lp_{i}"))).alias(f"__fs_{i}") for i in range(len(langs))],
+        F.sum(F.when(known & F.col("own"), times).otherwise(0)).alias("__k"),
+        F.sum(F.when(known & F.col("all"), times).otherwise(0)).alias("__fk"),
+        *[F.sum(F.when(F.col("own"), F.col(f"lp_{i}") * times)).alias(f"__s_{i}") for i in range(len(langs))],
+        *[F.sum(F.when(F.col("all"), F.col(f"lp_{i}") * times)).alias(f"__fs_{i}") for i in range(len(langs))],
     )
     whole_sums = {f"__fs_{i}": F.sum(f"__fs_{i}").over(whole) for i in range(len(langs))}
     sums = sums.withColumns({**whole_sums, "__fk": F.sum("__fk").over(whole)})
@@ -168,6 +195,21 @@ def resolve_sources(
     return lines.join(found, LINE, "left").withColumn(out, F.coalesce(out, F.lit(DEFAULT_SOURCE)))
 
 
+def maximal_ids(df: DataFrame, likely: DataFrame, code: str = "code", out: str = "maximal") -> DataFrame:
+    """Add ``out``: ``maximal_id`` of ``code`` by a table ``likely`` (``tag, full``) of any size, as the whole CLDR data.
+
+    Each distinct code is looked up once per stage; the stage that finds something first counts.  Codes that no stage
+    finds, empty and NULL ones stay as they are.
+    """
+    lang, script, region = subtags(F.col("__code"))
+    asked = df.select(F.col(code).alias("__code")).where(F.col(code).isNotNull()).distinct()
+    keys = asked.select("__code", F.posexplode(F.array(*stages(lang, script, region))).alias("__stage", "tag"))
+    known = lookup_join(keys.where(F.col("tag").isNotNull()), likely.select("tag", "full"), ["tag"], "inner")
+    first = known.groupBy("__code").agg(F.min_by("full", "__stage").alias("__full"))
+    found = first.select(F.col("__code").alias(code), filled(F.col("__code"), lang, script, region, F.col("__full")).alias(out))
+    return lookup_join(df.drop(out), found, [code]).withColumn(out, F.coalesce(out, code))
+
+
 def language_display_name(df: DataFrame, names: DataFrame, code: str = "code") -> DataFrame:
     """Add ``display``: the name of the language, or ``Auto (detect)``, or the code itself."""
     n = names.select(F.col("code").alias(code), F.col("name").alias("__name"))

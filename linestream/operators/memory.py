@@ -49,7 +49,6 @@ def tm_lookup(
     strategy: str,
     source: str = "source",
     small: bool | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``translated``: the text itself where it is in the target language already, else the
     memory's answer for (maximal source, strategy, raw target, text), else NULL.
@@ -57,7 +56,7 @@ def tm_lookup(
     ``tm`` holds one row per key.  ``cache_hit`` tells the memory's answers apart.
     """
     keyed = with_keys(lines, target, strategy, source)
-    found = lookup_join(keyed, _memory(tm, target, strategy), ["source_max", "text"], small=small, hot_rows=hot_rows)
+    found = lookup_join(keyed, _memory(tm, target, strategy), ["source_max", "text"], small=small)
     hit = F.when(F.col("same_language"), F.col("text")).otherwise(F.col("cached"))
     return found.withColumn("translated", hit).withColumn(
         "cache_hit", ~F.col("same_language") & F.col("cached").isNotNull()
@@ -71,12 +70,11 @@ def pending_lines(
     strategy: str,
     source: str = "source",
     small: bool | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Lines that are neither in the target language nor in the memory."""
     keyed = with_keys(lines, target, strategy, source).where(~F.col("same_language"))
     known = _memory(tm, target, strategy).drop("cached")
-    return lookup_join(keyed, known, ["source_max", "text"], "left_anti", small=small, hot_rows=hot_rows)
+    return lookup_join(keyed, known, ["source_max", "text"], "left_anti", small=small)
 
 
 def translation_batches(pending: DataFrame, keys: list[str] | None = None, order: str = "line_no") -> DataFrame:
@@ -182,6 +180,6 @@ def translate_batches(
     return materialize(res) if checkpoint else res
 
 
-def join_answers(lines: DataFrame, answers: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def join_answers(lines: DataFrame, answers: DataFrame) -> DataFrame:
     """Give every pending line the answer of its (maximal source, text)."""
-    return lookup_join(lines, answers, ["source_max", "text"], hot_rows=hot_rows)
+    return lookup_join(lines, answers, ["source_max", "text"])

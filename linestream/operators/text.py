@@ -61,22 +61,27 @@ def lexicon_translate(
     target: str = "en",
     source: str = "source",
     text: str = "text",
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Answers of the built-in word-by-word backend: one row ``ids + (translated)`` per request.
 
     Tokens are split on one space; a token without an entry stays as it is.  The lexicon holds
     ``(source, target, token, out)`` with one row per key.
+
+    With a lexicon small enough to broadcast, the only shuffle moves whole requests, ahead of the split into tokens:
+    the tokens are looked up and put together again in the task that made them.
     """
     words = lexicon.where(F.col("target") == target).select(
         F.col("source").alias("__source"), F.col("token").alias("__token"), "out"
     )
+    small = fits(words)
+    if small and not requests.isStreaming:
+        requests = requests.repartition(*ids)
     tokens = requests.select(
         *ids,
         F.col(source).alias("__source"),
         F.posexplode(F.split(text, " ", -1)).alias("__pos", "__token"),
     )
-    put = lookup_join(tokens, words, ["__source", "__token"], small=fits(words), hot_rows=hot_rows)
+    put = lookup_join(tokens, words, ["__source", "__token"], small=small)
     rows = F.array_sort(
         F.collect_list(F.struct(F.col("__pos").alias("o"), F.coalesce("out", "__token").alias("v")))
     )

@@ -63,7 +63,7 @@ def replay_live(
     if configured is not None:
         named = named.drop("source")
     sourced = named if configured is None else resolve_sources(named, configured, profile, checkpoint=True)
-    found = tm_lookup(sourced, tm, target, strategy, hot_rows=hot_rows).withColumnRenamed("translated", "known")
+    found = tm_lookup(sourced, tm, target, strategy).withColumnRenamed("translated", "known")
     # Asked for by the answers, by the cache and by the carrying: worked out once.
     found = materialize(found)
     start = numbered.select(*FRAME, F.col("ts").alias("__at"))
@@ -76,14 +76,14 @@ def replay_live(
     return shown.drop("known", "remembered", "own", "value")
 
 
-def _first_asked(offers: DataFrame, scope: list[str], hot_rows: int | None) -> DataFrame:
+def _first_asked(offers: DataFrame, scope: list[str]) -> DataFrame:
     """Offers to lines that were shown no later than their key's first answer.
 
     The first answer to a key was asked for, as nothing could be known before it; whoever was shown later
     knew it.  So one minimum per key, combined ahead of the shuffle, says which lines were asked for.
     """
     first = offers.groupBy(*scope).agg(F.min("ts").alias("__first"))
-    return lookup_join(offers, first, scope, hot_rows=hot_rows).where(F.col("__at") <= F.col("__first")).drop("__first")
+    return lookup_join(offers, first, scope).where(F.col("__at") <= F.col("__first")).drop("__first")
 
 
 def _told(
@@ -104,14 +104,14 @@ def _told(
     without a value are asked for.  What a round decides rests on earlier answers only, so each round settles at least
     the next answer of each text, and they end when nothing changes.
     """
-    told = _first_asked(offers, scope, hot_rows)
+    told = _first_asked(offers, scope)
     if not mixed:
         return told
     runs = found.groupBy("session_id", "epoch", "text").agg(F.min("source_max").alias("a"), F.max("source_max").alias("b"))
     texts = materialize(runs.where(~F.col("a").eqNullSafe(F.col("b"))).select("text").distinct())
     if texts.isEmpty():
         return told
-    part = lambda df, how: lookup_join(df, texts, ["text"], how, hot_rows=hot_rows)
+    part = lambda df, how: lookup_join(df, texts, ["text"], how)
     some, open_offers = materialize(part(found, "left_semi")), materialize(part(offers, "left_semi"))
     now, mark = materialize(part(told, "left_semi")), None
     while True:
@@ -157,7 +157,7 @@ def _with_cache(asked: DataFrame, told: DataFrame, start: DataFrame, scope: list
     the answers of its moment.  Other lines take no part in it.
     """
     keys = told.groupBy(*scope).agg(F.min("ts").alias("__first"))
-    when = lookup_join(asked.where(F.col("known").isNull()).join(start, FRAME), keys, scope, hot_rows=hot_rows)
+    when = lookup_join(asked.where(F.col("known").isNull()).join(start, FRAME), keys, scope)
     late = when.where(F.col("__first") < F.col("__at"))
     moments = late.select(
         *LINE, *[c for c in scope if c not in LINE], F.col("__at").alias("__ts"), F.lit(0).alias("__tag"),

@@ -1,16 +1,16 @@
-"""Size checks and hot-key handling shared by every operator.
+"""Size checks and ordered scans over hot keys, shared by every operator.
 
 Rules kept here so that the operators can stay declarative:
 
 * a side is broadcast only after its row and byte count was checked (``fits``);
-* a key that holds a large share of the rows never lands in one task: joins spread
-  its rows (``lookup_join``), ordered scans cut it into chunks whose results are
+* joins (``lookup_join``) leave hot keys to adaptive execution, which splits skewed partitions;
+* ordered scans cannot be split by it: they cut a hot key into chunks whose results are
   chained (``Split`` with ``running``, ``runs`` and ``flag``);
 * nothing is dropped or sampled: the hot and the cold way give the same rows.
 
-Hot keys are found by one exact, map-side combined count.  At most ``MAX_HOT``
-hashes reach the driver; by counting, each key left out holds fewer than
-``1 / MAX_HOT`` of the rows or fewer than ``hot_rows`` rows.
+Hot keys are found by one exact, map-side combined count.  A chunk aims at ``max(hot_rows, 1 / PARTS of
+the hot rows)``, so at most about ``PARTS`` cuts exist at any size; by counting, each key left whole has
+fewer rows than that or fewer than ``1 / PARTS`` of all rows.
 """
 
 from __future__ import annotations
@@ -18,20 +18,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-MAX_HOT = 1_000
-MAX_CHUNKS = 1_024
+PARTS = 20_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 _CHUNK = "__chunk"
-_PLACE = "__place"
+#: Rows looked at per chunk to find where to cut.
+_LOOKS = 64
 
 
 def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
@@ -63,104 +63,84 @@ def _key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[int]:
-    """Hashes of the keys with more than ``hot_rows`` rows, the largest ``MAX_HOT`` of them.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[list[tuple[int, int]], int]:
+    """Hashes and row counts of the keys to cut, and the rows a chunk of them aims at.
 
-    Two keys with one hash are counted together, which at worst splits a key that
-    did not need it.
+    The driver gets the largest ``PARTS`` keys of more than ``hot_rows`` rows at most.  Two keys with one
+    hash are counted together, which at worst cuts a key that did not need it.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    rows = (
+    found = (
         df.select(_key_hash(keys).alias("h"))
         .groupBy("h")
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), "h")
-        .limit(MAX_HOT)
-        .select("h")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > hot_rows)
+        .orderBy(F.desc("n"), "h")
+        .limit(PARTS)
         .collect()
     )
-    return [r["h"] for r in rows]
+    aim = max(hot_rows, -(-sum(r["n"] for r in found) // PARTS))
+    return [(r["h"], r["n"]) for r in found if r["n"] > aim], aim
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    *,
-    small: bool | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *, small: bool | None = None) -> DataFrame:
     """Join to a table with at most one row per key.
 
-    ``right`` is broadcast when its checked size allows it.  Else it is a shuffle join in which the
-    rows of hot left keys are spread by a hash of the whole row, and the right rows of these keys
-    (one each, so at most a few thousand) are copied to each place.  The left side is worked out once.
+    ``right`` is broadcast when its checked size allows it.  Else it is a shuffle join; adaptive execution splits
+    the partitions of hot left keys, and the left side is worked out once.
     """
     if small is None:
         small = fits(right)
-    if small:
-        return left.join(F.broadcast(right), on, how)
-    hot = [] if left.isStreaming else hot_keys(left, on, hot_rows)
-    if not hot:
-        return left.join(right, on, how)
-    places = max(2, min(MAX_CHUNKS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    is_hot = _key_hash(on).isin(hot)
-    row = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
-    place = F.when(is_hot, F.pmod(F.xxhash64(*row), F.lit(places)).cast("int")).otherwise(0)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))
-    spread = left.withColumn(_PLACE, place)
-    return spread.join(right.withColumn(_PLACE, F.explode(copies)), [*on, _PLACE], how).drop(_PLACE)
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 @dataclass(frozen=True)
 class Split:
     """How the rows of one key are ordered, and where its hot keys are cut.
 
-    ``bounds`` are quantiles of the first order column over the rows of hot keys,
-    so every (key, chunk) pair holds about ``1 / len(bounds)`` of these rows at most,
-    however they are spread.
+    ``cuts``: a row ``(__h, __cuts)`` per hot key, its cuts being rows of it in the whole order, so that a key whose
+    rows share their first order column is cut too.  ``most`` is the largest number of cuts of a key.
     """
 
     keys: list[str]
     order: list[str]
-    hot: list[int] = field(default_factory=list)
-    bounds: list = field(default_factory=list)
+    cuts: DataFrame | None = None
+    most: int = 0
 
     @staticmethod
     def of(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None) -> "Split":
-        hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-        hot = hot_keys(df, keys, hot_rows)
+        """Count the keys; where some are hot, cut them at every so many rows picked by a hash.
+
+        About ``_LOOKS`` rows are picked per chunk, by their values alone, so every run cuts alike.  The picked
+        rows of a key are put in order in one task: at most ``PARTS * _LOOKS`` of them, at any size.
+        """
+        hot, aim = hot_keys(df, keys, hot_rows)
         if not hot:
             return Split(keys, order)
-        stat = (
-            df.where(_key_hash(keys).isin(hot))
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.percentile_approx(order[0], [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)], 10 * MAX_CHUNKS).alias("q"),
-            )
-            .first()
+        step = max(1, aim // _LOOKS)
+        names = df.sparkSession.createDataFrame([(h,) for h, _ in hot], "__h long")
+        at = F.struct(*[F.col(c) for c in order])
+        rows = df.select(_key_hash(keys).alias("__h"), at.alias("__at")).where(
+            F.pmod(F.xxhash64(F.lit(step), "__h", "__at"), F.lit(step)) == 0
         )
-        wanted = min(MAX_CHUNKS, max(2, -(-stat["n"] // hot_rows)))
-        q = stat["q"] or []
-        picked = [q[(i * len(q)) // wanted] for i in range(1, wanted)] if q else []
-        return Split(keys, order, hot, sorted(set(picked)))
-
-    def chunk(self, df: DataFrame) -> Column:
-        """Chunk number of a row; 0 for all rows of keys that are not hot."""
-        if not self.hot or not self.bounds:
-            return F.lit(0)
-        dtype = df.schema[self.order[0]].dataType
-        x = F.col(self.order[0])
-        lits = [F.lit(b.isoformat(sep=" ") if hasattr(b, "isoformat") else b).cast(dtype) for b in self.bounds]
-        step = max(1, int(len(lits) ** 0.5))
-        coarse = F.array(*lits[::step])
-        # Two short scans instead of one long one: first the group of bounds, then within it.
-        group = F.size(F.filter(coarse, lambda b: b <= x))
-        inner = F.slice(F.array(*lits), (group - 1) * step + 1, F.lit(step))
-        n = F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(inner, lambda b: b <= x)))
-        return F.when(_key_hash(self.keys).isin(self.hot), n).otherwise(0)
+        place = F.row_number().over(Window.partitionBy("__h").orderBy("__at"))
+        picked = rows.join(F.broadcast(names), "__h").withColumn("__n", place).where(F.col("__n") % max(1, aim // step) == 0)
+        cuts = materialize(picked.groupBy("__h").agg(F.sort_array(F.collect_list("__at")).alias("__cuts")))
+        most = cuts.agg(F.max(F.size("__cuts"))).first()[0]
+        return Split(keys, order, cuts, most) if most else Split(keys, order)
+
+    def chunked(self, df: DataFrame) -> DataFrame:
+        """``df`` with the chunk number of each row: 0 and up within hot keys, -1 for the rows of all others.
+
+        The cuts (at most about ``PARTS``, however large the table) are broadcast; a row finds its place among those of
+        its key by halving.
+        """
+        at = F.struct(*[F.col(c) for c in self.order])
+        halves = F.array(*[F.lit(1 << i) for i in reversed(range(self.most.bit_length()))])
+        below = lambda low, half: F.when(F.try_element_at("__cuts", low + half) <= at, low + half).otherwise(low)
+        chunk = F.when(F.col("__cuts").isNull(), -1).otherwise(F.aggregate(halves, F.lit(0), below))
+        found = df.withColumn("__h", _key_hash(self.keys)).join(F.broadcast(self.cuts), "__h", "left")
+        return found.select(*[F.col(c) for c in df.columns], chunk.alias(_CHUNK))
 
 
 def running(
@@ -199,7 +179,7 @@ def running(
     aggs += [F.max_by(F.when(e.isNotNull(), F.struct(e.alias("v"))), F.when(e.isNotNull(), pos)).alias(n) for n, e in lasts.items()]
     aggs += [F.max_by(F.struct(e.alias("v")), pos).alias(n) for n, e in lags.items()]
     aggs += [F.min_by(F.struct(e.alias("v")), pos).alias(n) for n, e in leads.items()]
-    per_chunk = src.where(_key_hash(split.keys).isin(split.hot)).groupBy(*part).agg(*aggs)
+    per_chunk = src.where(_is_hot()).groupBy(*part).agg(*aggs)
     ws, before = _chunk_windows(split)
     carry = per_chunk.select(
         *_chunk_keys(part),
@@ -235,10 +215,14 @@ def _with_carry(local: DataFrame, carry: DataFrame, part: list[str], out: dict[s
     return joined.select(*keep, *[e.alias(n) for n, e in out.items()])
 
 
+def _is_hot() -> Column:
+    return F.col(_CHUNK) >= 0
+
+
 def _windows(df: DataFrame, split: Split):
     """The table with its chunk numbers, the window columns, and the two windows of an ordered scan."""
-    cut = bool(split.hot and split.bounds)
-    src = df.withColumn(_CHUNK, split.chunk(df)) if cut else df
+    cut = split.cuts is not None
+    src = split.chunked(df) if cut else df
     part = split.keys + ([_CHUNK] if cut else [])
     w = Window.partitionBy(*part).orderBy(*split.order)
     return cut, src, part, w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -266,7 +250,7 @@ def runs(df: DataFrame, split: Split, out: str, look: Column, opens: Callable[[C
     if not cut:
         begins = F.col("__l_before").isNull() | begins
         return src.withColumn(out, F.last(F.when(begins, value), ignorenulls=True).over(upto)).drop("__l_before")
-    is_hot = _key_hash(split.keys).isin(split.hot)
+    is_hot = _is_hot()
     # The first row of a chunk waits for what came before it; the first row of a cold key opens.
     begins = F.when(F.col("__l_before").isNull(), ~is_hot).otherwise(begins)
     local = src.withColumns(
@@ -309,7 +293,7 @@ def flag(df: DataFrame, split: Split, out: str, set_to: Column, flips: Column) -
     value = lambda base: ((base + F.col("__l_flips")) % 2).cast("int")
     if not cut:
         return local.withColumn(out, value(F.coalesce("__l_base", F.lit(0)))).drop("__l_flips", "__l_base")
-    per_chunk = local.where(_key_hash(split.keys).isin(split.hot)).groupBy(*part).agg(
+    per_chunk = local.where(_is_hot()).groupBy(*part).agg(
         F.max_by(F.struct("__l_flips", "__l_base"), F.struct(*split.order)).alias("__end")
     )
     _, before = _chunk_windows(split)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linestream.functions.languages import maximal_id, primary_subtag
+from linestream.functions.languages import LIKELY, likely_subtags, maximal_id, primary_subtag
 from linestream.operators import language as lg
 
 
@@ -12,11 +12,25 @@ def test_maximal_and_primary(spark):
         "en": ("en", "en-Latn-US"), "en-GB": ("en", "en-Latn-GB"), "zh": ("zh", "zh-Hans-CN"), "zh-TW": ("zh", "zh-Hant-TW"),
         "zh-Hant": ("zh", "zh-Hant-TW"), "zh-Hant-HK": ("zh", "zh-Hant-HK"), "zh_HK": ("zh", "zh-Hant-HK"), "sr": ("sr", "sr-Cyrl-RS"),
         "sr-Latn": ("sr", "sr-Latn-RS"), "pt-BR": ("pt", "pt-Latn-BR"), "es-419": ("es", "es-Latn-419"), "EN-us": ("en", "en-Latn-US"),
-        "tlh": ("tlh", "tlh"), "": ("", ""), "auto": ("auto", "auto"),
+        "tlh": ("tlh", "tlh"), "": ("", ""), "auto": ("auto", "auto"), "sw": ("sw", "sw-Latn-TZ"), "hy": ("hy", "hy-Armn-AM"),
+        "az": ("az", "az-Latn-AZ"), "az-IR": ("az", "az-Arab-IR"), "uz-AF": ("uz", "uz-Arab-AF"), "uz-Cyrl": ("uz", "uz-Cyrl-UZ"),
+        "zh-SG": ("zh", "zh-Hans-SG"), "zh-Hans-TW": ("zh", "zh-Hans-TW"), "sr-ME": ("sr", "sr-Latn-ME"), "sr-Cyrl-ME": ("sr", "sr-Cyrl-ME"),
+        "pa_Arab": ("pa", "pa-Arab-PK"), "tlh-Latn": ("tlh", "tlh-Latn"),
     }
     df = spark.createDataFrame([(c,) for c in want], "c string")
     got = {r[0]: (r[1], r[2]) for r in df.select("c", primary_subtag(F.col("c")), maximal_id(F.col("c"))).collect()}
     assert got == want
+    table = spark.createDataFrame([*LIKELY.items(), ("tlh", "tlh-Latn-001")], "tag string, full string")
+    df = spark.createDataFrame([(c,) for c in [*want, "en", None]], "code string")
+    by_table = [tuple(r) for r in lg.maximal_ids(df, table).collect()]
+    more = {"tlh": "tlh-Latn-001", "tlh-Latn": "tlh-Latn-001", None: None}
+    assert dict(by_table) == {k: v[1] for k, v in want.items()} | more and len(by_table) == len(want) + 2
+
+
+def test_likely_subtags_file(tmp_path):
+    path = tmp_path / "likelySubtags.json"
+    path.write_text('{"supplemental": {"likelySubtags": {"aa": "aa-Latn-ET", "zh_TW": "zh_Hant_TW"}}}')
+    assert likely_subtags(str(path)) == {"aa": "aa-Latn-ET", "zh-TW": "zh-Hant-TW"}
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +100,20 @@ def test_one_pass_over_lines_and_frames_equals_two(spark, profile, small):
     assert len({v for v in got.values()}) >= 3 and None in by_line.values()
 
 
+def test_large_profile_gets_each_gram_of_a_text_once(spark, profile):
+    large = lg.Profile(profile.grams, profile.langs, profile.n, False)
+    data = [(1, "the the the dog and the dog"), (2, "zzzzqq"), (3, ""), (4, "le chien le chien"), (5, None), (6, "a"), (7, "th" * 3000 + " the dog")]
+    df = spark.createDataFrame(data, "id int, text string")
+    counted = lg._counted(df.select("id", lg._text_grams(F.lower("text"), 3).alias("g")), "g", ["id"]).collect()
+    assert {(r["v"], r["n"]) for r in counted if r["id"] == 7} >= {("tht", 2999), ("hth", 2999), ("the", 1)}
+    assert {(r["v"], r["n"]) for r in counted if r["id"] == 6} == {("a", 1)}
+    get = lambda p: {r["id"]: (r["detected"], r["confidence"]) for r in lg.detect_language(df, p, ["id"]).collect()}
+    small, forced = get(profile), get(large)
+    for k, (lang, conf) in small.items():
+        assert forced[k][0] == lang and forced[k][1] == (None if conf is None else pytest.approx(conf))
+    assert {k for k in forced if forced[k] != (None, None)} == {1, 4, 7}
+
+
 def test_configured_source_holds_for_all(spark):
     lines = spark.createDataFrame([("s", 1, 0, "le chien")], "session_id string, frame_seq long, line_no int, text string")
     assert lg.resolve_sources(lines, "ja").first()["source"] == "ja"

@@ -25,13 +25,13 @@ def tm(spark):
     )
 
 
-@pytest.mark.parametrize("small,hot", [(True, None), (False, None), (False, 1)])
-def test_key_is_maximal_source_raw_target_and_strategy(lines, tm, rows, small, hot):
-    out = mem.tm_lookup(lines, tm, "en-US", "lowLatency", small=small, hot_rows=hot)
+@pytest.mark.parametrize("small", [True, False])
+def test_key_is_maximal_source_raw_target_and_strategy(lines, tm, rows, small):
+    out = mem.tm_lookup(lines, tm, "en-US", "lowLatency", small=small)
     assert rows(out, "line_id", "translated", "cache_hit") == [
         ("a", None, False), ("b", "hello", False), ("c", "hi", True), ("d", None, False), ("e", None, False),
     ]
-    left = mem.pending_lines(lines, tm, "en-US", "lowLatency", small=small, hot_rows=hot)
+    left = mem.pending_lines(lines, tm, "en-US", "lowLatency", small=small)
     assert rows(left, "line_id") == [("a",), ("d",), ("e",)]
 
 
@@ -96,7 +96,7 @@ def test_translator_failure_stays_in_its_group_and_asks_once(spark, rows, tmp_pa
         return req["text"].str.upper()
 
     answers = mem.translate_batches(pending, translator, "en", "lowLatency", partitions=3)
-    out = mem.join_answers(pending, answers, hot_rows=5)
+    out = mem.join_answers(pending, answers)
     got = {(r["source_max"], r["text"], r["answer"], r["error"]) for r in out.collect()}
     assert {g for g in got if g[0] == "fr-Latn-FR"} == {("fr-Latn-FR", f"t{i}", f"T{i}", None) for i in range(10)}
     assert {g[2:] for g in got if g[0] == "de-Latn-DE"} == {(None, "RuntimeError: no model")}

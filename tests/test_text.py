@@ -54,14 +54,14 @@ def test_lexicon_keeps_unknown_tokens_and_spaces(spark, rows):
     assert rows(lexicon_translate(req, lex, ["id"])) == [(1, "the  chat sleeps"), (2, "le"), (3, "")]
 
 
-def test_lexicon_large_and_hot_way(spark, rows, monkeypatch):
+def test_lexicon_too_large_to_broadcast(spark, rows, monkeypatch):
     from linestream import scale
 
     req = spark.range(200).select("id", F.lit("fr").alias("source"), F.concat(F.lit("le mot"), F.col("id")).alias("text"))
     lex = spark.createDataFrame([("fr", "en", "le", "the")], "source string, target string, token string, out string")
     want = rows(lexicon_translate(req, lex, ["id"]))
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
-    assert rows(lexicon_translate(req, lex, ["id"], hot_rows=20)) == want
+    assert rows(lexicon_translate(req, lex, ["id"])) == want
 
 
 def test_sections(spark):
