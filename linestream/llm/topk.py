@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linestream.llm.common import running_total, written
@@ -149,6 +149,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
 
     Vectors are ranked by length and cut into groups.  Each query first meets the longest group, whose k-th product
     is its floor; then only the groups with a vector long enough for that floor, which are the first so many.
+    A group of vectors is sent to the query groups that reach it, and to no others.
     In a task, each bucket of similar length derives the cosine a query needs there, skips the query when it is above
     1, prunes by coordinates or by length, and computes the products of the rest.  Nothing is approximate.
 
@@ -174,12 +175,12 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
     groups = queries.agg(F.max("qg")).first()[0]
     if groups is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dealt = ranked.withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups).cast("long"))))
+    longest = ranked.where("vg = 0").withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups).cast("long"))))
     shape = lambda df, kind, floor: df.select(
         "qg", "vg", F.lit(kind).alias("kind"), "ord", "vec_id", "x", floor.cast("double").alias("floor")
     )
     nothing = F.lit(float("-inf"))
-    first = shape(dealt.where("vg = 0"), 1, nothing).union(shape(queries.withColumn("vg", F.lit(0).cast("long")), 0, nothing))
+    first = shape(longest, 1, nothing).union(shape(queries.withColumn("vg", F.lit(0).cast("long")), 0, nothing))
     seeds = written(_scan(first, dims, k), "seeds")
     # The k-th product of the longest group; with fewer than k there, no floor.
     floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
@@ -194,11 +195,14 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
     enough = F.lit(count)
     for vg, most in reversed(marks[1:]):
         enough = F.when((F.col("shortness") < 0) & (F.lit(most) < need), F.lit(vg)).otherwise(enough)
-    asked = asked.withColumn("upto", enough).where("upto > 1")
-    asked = asked.withColumn("vg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto").cast("long") - 1)))
-    rest = shape(dealt.where("vg > 0"), 1, nothing).union(shape(asked, 0, F.col("floor")))
+    asked = written(asked.withColumn("upto", enough.cast("long")).where("upto > 1"), "asked")
+    # A group of vectors goes only to the query groups that reach it: one list of group numbers per group of vectors.
+    reach = asked.groupBy("qg").agg(F.max("upto").alias("upto"))
+    met = reach.select("qg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto") - 1)).alias("vg"))
+    dealt = ranked.join(met.groupBy("vg").agg(F.collect_list("qg").alias("qgs")), "vg").withColumn("qg", F.explode("qgs"))
+    asked = asked.withColumn("vg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto") - 1)))
+    rest = shape(dealt, 1, nothing).union(shape(asked, 0, F.col("floor")))
     found = seeds.union(_scan(rest, dims, k))
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score")))
-    # A query has k rows per group it met; sorting them needs no more than that.
-    ranks = found.groupBy("query_id").agg(F.slice(best, 1, k).alias("b")).select("query_id", F.posexplode("b").alias("p", "r"))
-    return ranks.select("query_id", (F.col("p") + 1).alias("rank"), "r.vec_id", "r.score")
+    # At most k rows per query and group met; the window keeps k of them in each task ahead of the shuffle.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
