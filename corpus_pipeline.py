@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linestream.llm.common import table, written
+from linestream.llm.common import settled, table
 from linestream.llm.jaccard import keep_first
 from linestream.llm.mixing import mixed_texts
 from linestream.llm.packing import pack_documents
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def upto(n: int) -> DataFrame:
+        """What the first ``n`` stages leave, written; what they wrote before, the table of the stage ahead included, is gone then."""
+        if n == 0:
+            return table(spark, sf_dir, "documents")
+        return settled(lambda: STAGES[n - 1][1](spark, upto(n - 1), sf_dir), "stage")
+
+    return STAGES[-1][1](spark, upto(len(STAGES) - 1), sf_dir)

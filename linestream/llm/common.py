@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import threading
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,39 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     not repeatable (row ids, partition numbers) is fixed from here on.
     """
     path = shared_dir(df.sparkSession, name)
+    if _open():
+        _open()[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_THREAD = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """Folders written since each ``settled`` of this thread that is not done began, the innermost last."""
+    return _THREAD.__dict__.setdefault("open", [])
+
+
+def settled(make: Callable[[], DataFrame], name: str, codec: str = "zstd") -> DataFrame:
+    """``make()`` written as by ``written``; the tables that were written on the way to it are removed then.
+
+    For a ``make`` of which only the result is used on: once that stands, nothing reads the others, and a lost executor costs
+    a read of it alone.  One within another is removed with the outer one's tables.
+    """
+    _open().append([])
+    try:
+        df = make()
+    finally:
+        gone = _open().pop()
+    out = written(df, name, codec)
+    spark = df.sparkSession
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, gone):
+        with contextlib.suppress(Exception):  # a folder that cannot be removed is only left over
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows in them; a null counts as an empty text."""
     if isinstance(col, pa.ChunkedArray):

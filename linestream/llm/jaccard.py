@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linestream.llm.common import free_name, mix64, word_hashes, written
+from linestream.llm.common import free_name, mix64, settled, word_hashes, written
 from linestream.llm.components import components
 from linestream.llm.vectors import per_key
 
@@ -347,6 +347,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
 
 
+def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The ``pairs`` whose whole texts link, written; the texts that were gathered for them go."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+    return settled(lambda: _verified(pairs, _texts(docs, reps, need), percent, size), "links")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = None, size: int = WORDS) -> DataFrame:
     """doc_id, n, component per row of ``docs`` (doc_id, text), and its number ``row`` if asked for; component null without words."""
     rank = global_order(docs, size)
@@ -372,9 +378,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     stars = stars.join(reps.select("c", F.size("prefix").alias("size")), "c").where(F.col("m.k") * 4 >= F.col("size"))
     stars = stars.select(F.col("c").alias("a"), (-F.col("m.l")).alias("b"))
     stars = written(stars, "star_pairs")
-    texts = _texts(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("c")))
-    linked = written(_verified(stars, texts, percent, size), "stars")
-    comp = written(components(linked), "components")
+    linked = _linked(docs, reps, stars, percent, size)
+    comp = settled(lambda: components(linked), "components")
     # Then every pair of different components that some prefix tree cannot rule out.
     half = 2 * percent  # a set meets those not smaller by fewer tokens: see tree_length
     shortest = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
@@ -401,8 +406,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, row: str | None = N
     head = F.slice("prefix", begin + 1, F.col("pos") - begin).alias("head")
     rows = rows.select("token", "x", "y", "side", "c", "n", F.col("pos").cast("long").alias("pos"), "comp", tail.alias("tail"), head)
     pairs = written(_candidates(rows, percent), "candidates")
-    texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("c")))
-    more = written(_verified(pairs, texts, percent, size), "links")
+    more = _linked(docs, reps, pairs, percent, size)
     final = components(linked.union(more))
     named = classes.join(final, classes["c"] == final["node"], "left").select(
         "s1", "s2", F.col("n").alias("size"), F.coalesce("component", "c").alias("component")
@@ -423,7 +427,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     words are one n-gram; repeated rows share their component; a null id never names a component unless
     nothing else is in it; an empty table gives an empty result; other columns are ignored.
     """
-    rows = written(jaccard_classes(docs, percent), "rows")
+    rows = settled(lambda: jaccard_classes(docs, percent).drop("row"), "rows")
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "component", "left")
     name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
@@ -438,7 +442,8 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     """
     uid = free_name(docs, "__uid")
     base = written(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
-    classes = jaccard_classes(base.select("doc_id", "text", F.col(uid).alias("row")), percent, "row", size)
+    rows = base.select("doc_id", "text", F.col(uid).alias("row"))
+    classes = settled(lambda: jaccard_classes(rows, percent, "row", size).select("doc_id", "row", "component"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("k"))
     stay = classes.where("component is not null").groupBy("component").agg(first.alias("k")).select(F.col("k.row").alias(uid))
     empty = classes.where("component is null").select(F.col("row").alias(uid))

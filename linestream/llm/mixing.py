@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linestream.llm.common import free_name, mix64, running_total, text_buffers, word_spans, written
+from linestream.llm.common import free_name, mix64, running_total, settled, text_buffers, word_spans, written
 
 BLOCK_WORDS = 128
 #: A source is cut into at least so many blocks (of a word at least), so that whole blocks come near its target.
@@ -216,11 +216,15 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     sized = word_counts(
         base.select(F.col(uid).alias("uid"), "doc_id", "source", F.xxhash64("text").alias("__text"), row.alias("__row"), "text")
     )
-    pieces = mix(written(sized, "sizes"), order=("doc_id", "__text", "__row")).pieces
-    uses = pieces.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    uses = uses.groupBy(F.col("uid").alias(uid), "use").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "length"))).alias(ranges)
-    )
+
+    def drawn() -> DataFrame:
+        pieces = mix(written(sized, "sizes"), order=("doc_id", "__text", "__row")).pieces
+        uses = pieces.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        return uses.groupBy(F.col("uid").alias(uid), "use").agg(
+            F.sort_array(F.collect_list(F.struct("begin", "length"))).alias(ranges)
+        )
+
+    uses = settled(drawn, "uses")
     cols = docs.columns
     joined = base.join(uses.drop("use"), uid).drop(uid)
 

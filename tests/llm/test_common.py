@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from linestream.llm import common as c
@@ -39,3 +40,31 @@ def test_running_total(spark):
         total += r["v"]
     assert len(got) == 1000
     assert c.running_total(df.limit(0), ["k"], "v", "before").count() == 0
+
+
+def test_settled_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(c, "shared_dir", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    kept = lambda: sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    before = c.written(spark.range(5), "before")
+
+    def inner():
+        return c.written(before.where("id > 1"), "some").union(c.written(before.where("id < 2"), "rest"))
+
+    one = c.settled(inner, "one")
+    assert kept() == ["before", "one"] and one.count() == 5
+
+    def outer():
+        two = c.settled(inner, "two")
+        assert kept() == ["before", "one", "two"]
+        return two.join(c.written(spark.range(3), "three"), "id")
+
+    last = c.settled(outer, "last")
+    assert kept() == ["before", "last", "one"] and sorted(r["id"] for r in last.collect()) == [0, 1, 2]
+
+    def fails():
+        c.written(spark.range(1), "lost")
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        c.settled(fails, "never")
+    assert "never" not in kept() and not c._open()
