@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linestream.llm.spans import clear_of, find, none, told
+from linestream.llm.spans import find, none, told
 
 # The rules of the base.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -16,8 +16,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "(?<![0-9a-f])[0-9a-f]{16,}+"  # a run is taken whole, so a shorter one can be passed over at once
 VALUE_LENGTH, ACCESS_LENGTH = 12, 18
 
-#: What the models judge: runs of key characters of this length.
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: What the models judge: runs of key characters of this length, as short as the shortest value a rule takes.
+SHORTEST = 12
+CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates made of plain words, the samples of ordinary identifiers.
 ORDINARY = "^[+/_=-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+)[+/_=-]*+)++$"
@@ -36,6 +37,28 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def outside(spans: Column, taken: Column) -> Column:
+    """The parts of ``spans`` that lie outside of all spans ``taken`` (s, e), those of ``SHORTEST`` characters or more: (s, e, v)."""
+
+    def met(x: Column) -> Column:
+        near = F.filter(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), near.alias("near"))
+
+    def parts(x: Column) -> Column:
+        covered = lambda p: F.exists(x["near"], lambda b: (b["s"] <= p) & (p < b["e"]))
+        places = F.array_distinct(F.concat(F.array(x["s"]), F.transform(x["near"], lambda b: b["e"])))
+        begins = F.filter(places, lambda p: (p < x["e"]) & ~covered(p))
+
+        def part(p: Column) -> Column:
+            later = F.transform(F.filter(x["near"], lambda b: b["s"] >= p), lambda b: b["s"])
+            end = F.least(x["e"], F.array_min(later))  # without a later one: null, which least passes over
+            return F.struct(p.alias("s"), end.alias("e"), F.substring(x["v"], p - x["s"] + 1, end - p).alias("v"))
+
+        return F.transform(begins, part)
+
+    return F.filter(F.flatten(F.transform(F.transform(spans, met), parts)), lambda x: x["e"] - x["s"] >= SHORTEST)
+
+
 def _log_next(pairs: dict[str, int]) -> list[list[float]]:
     """Log-probability of each character after each: pair counts, backed by the counts of single characters."""
     single = {c: SMOOTH + sum(n for p, n in pairs.items() if p[1] == c) for c in CHARACTERS}
@@ -48,7 +71,7 @@ def _log_next(pairs: dict[str, int]) -> list[list[float]]:
 def train(found: DataFrame) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each pair of characters, row by row; empty without samples of both.
 
-    Labelled samples: the values the rules found are random strings; candidates clear of them that are made of plain
+    Labelled samples: the values the rules found are random strings; what candidates hold outside of them and is made of plain
     words are ordinary identifiers.  Pairs are counted over all of them, map-side first; at most one row for each
     pair of the key characters and label reaches the driver.
     """
@@ -81,8 +104,8 @@ def ratio(value: Column, ratios: list[float]) -> Column:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    The rules' spans stay; the models add candidates clear of them, as kind ``random``, whose characters follow each other
-    as in random strings.  Both passes are plain scans: no shuffle but of the pair counts.
+    The rules' spans stay; the models add what candidates hold outside of them, as kind ``random``, where the characters follow
+    each other as in random strings.  Both passes are plain scans: no shuffle but of the pair counts.
 
     Null texts count as empty: no spans, the hash of nothing; null ids and repeated rows are rows like others; without any
     rule match the models know nothing and add nothing; an empty table gives an empty result; other columns are ignored.
@@ -92,7 +115,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text.alias("text"))
     # Columns of their own, used more than once: so they are worked out once a row, not again inside the lambdas.
     found = found.select("doc_id", *[a.alias(k) for k, a in base_spans(F.col("text")).items()], find(F.col("text"), CANDIDATE).alias("cand"))
-    found = found.select("doc_id", *kinds, clear_of(F.col("cand"), [F.col(k) for k in kinds]).alias("others"))
+    bare = lambda k: F.transform(k, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
+    found = found.select("doc_id", *kinds, "cand", F.concat(*map(bare, kinds)).alias("taken"))
+    found = found.select("doc_id", *kinds, outside(F.col("cand"), F.col("taken")).alias("others"))
     ratios = train(found)
     if ratios:
 

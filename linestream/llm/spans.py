@@ -56,11 +56,6 @@ def overlaps(x: Column, others: list[Column]) -> Column:
     return out
 
 
-def clear_of(spans: Column, others: list[Column]) -> Column:
-    """Those of ``spans`` that overlap none of ``others``."""
-    return F.filter(spans, lambda a: ~overlaps(a, others))
-
-
 def trees_column(trees, features: list[Column]) -> Column:
     """The margin of boosted trees (see ``quality.Trees``) as one expression of CASE WHENs."""
 

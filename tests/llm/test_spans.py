@@ -94,12 +94,40 @@ def test_models_tell_random_strings_from_names(spark):
     name = lambda: "_".join(rng.choice(parts) for _ in range(5))
     rows = [(i, f"token = {draw(40)} and {name()} then {name()}") for i in range(300)]
     free = [(1000 + i, f"see {draw(36)} here") for i in range(100)]
+    short = [(3000 + i, f"see {draw(12 + i % 8)} here") for i in range(200)]
+    # A rule takes the middle of a longer key; what is left of it on both sides is judged by itself.
+    parted = [(4000 + i, f"see {draw(20)}-{'0123456789abcdef' * 2}-{draw(20)} here") for i in range(100)]
     clean = [(2000 + i, f"call {name()} now") for i in range(100)]
-    out = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows + free + clean, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows + free + short + parted + clean, "doc_id long, text string")).collect()}
     assert sum("random:4:40" in out[1000 + i] for i in range(100)) >= 95
+    assert sum(f"random:4:{16 + i % 8}" in out[3000 + i] for i in range(200)) >= 190
+    assert sum(out[4000 + i].count("random:") == 2 for i in range(100)) >= 95
     assert sum(out[2000 + i] != "" for i in range(100)) <= 2
 
 
+def test_parts_outside_of_spans(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        cand, at = [], 0
+        for _ in range(rng.randrange(4)):
+            at += rng.randrange(1, 9)
+            cand.append((at, at + rng.randrange(12, 70)))
+            at = cand[-1][1]
+        taken = [(b, b + rng.randrange(1, 40)) for b in (rng.randrange(max(at, 1)) for _ in range(rng.randrange(6)))]
+        rows.append((i, [(s, e, "".join(chr(97 + j % 26) for j in range(s, e))) for s, e in cand], taken))
+    df = spark.createDataFrame(rows, "i int, cand array<struct<s:int,e:int,v:string>>, taken array<struct<s:int,e:int>>")
+    got = {r["i"]: sorted(map(tuple, r["o"])) for r in df.select("i", secrets.outside(F.col("cand"), F.col("taken")).alias("o")).collect()}
+    for i, cand, taken in rows:
+        want = []
+        for s, e, v in cand:
+            free = "".join("." if any(b <= j < f for b, f in taken) else "x" for j in range(s, e))
+            want += [(s + m.start(), s + m.end(), v[m.start() : m.end()]) for m in re.finditer("x{12,}", free)]
+        assert got[i] == sorted(want)
+
+
 def test_trees_add_wider_forms_and_leave_clean_texts(spark):
     rng = random.Random(3)
     rows = [(i, f"please write mail {rng.choice('abc')}{i}@host{i % 7}.example.org today") for i in range(300)]
